@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
-from .common import read_table
+from . import chat, quality, token_files, warc
+from .bpe import encode_texts, token_digests
+from .common import fresh_path, read_table
 from .decontaminate import contaminated, contamination
 from .simhash import near_duplicates
 
@@ -22,12 +23,95 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.turns_of_rows(read_table(spark, sf_dir, "conversations"))
+    hard = "\\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).alias("record"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    made = chat.format_turns(rows.unionByName(more))
+    read = made.select("*", chat.parse_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("record").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP3_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+coded AS (
+  SELECT *, replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\e') AS c FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, c)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, c) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(role) + length(c) + 14) AS BIGINT) AS formatted_chars
+FROM coded GROUP BY conv_id
+""".replace("\\\\", "\\")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
     return quality.measure(docs, model).withColumnRenamed("id", "doc_id")
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_warc(read_table(spark, sf_dir, "pages"), path)
+    read = warc.read_warc(spark, path, with_payload=False)
+    return read.select(
+        warc.page_id(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_id(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
+  min(page_id) OVER (PARTITION BY sha256(h)) AS first_id FROM p),
+r AS (SELECT *, payload_bytes >= 100 AND page_id <> first_id AS again FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first_id END AS refers_to
+FROM r
+"""
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def token_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = tokenizer_path("byte_bpe_50k.tiktoken"), token_pattern()
+    encoded = encode_texts(read_table(spark, sf_dir, "documents"), *tokenizer)
+    return token_digests(encoded, *tokenizer).withColumnRenamed("id", "doc_id")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "token-files")
+    docs = read_table(spark, sf_dir, "documents")
+    manifest = token_files.write_token_files(docs, folder, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return token_files.crc_of_ids(token_files.read_token_files(manifest, folder)).withColumnRenamed("id", "doc_id")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -41,8 +125,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op5_quality_rules, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_chat_formatting, op5_quality_rules, op7_warc_revisits, op8_byte_bpe, op9_token_files, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_formatting": OP3_SQL, "op7_warc_revisits": OP7_SQL}
