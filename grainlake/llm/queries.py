@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, token_files, warc
+from . import chat, quality, token_files, toxicity, warc
 from .bpe import encode_texts, token_digests
 from .common import fresh_path, read_table
 from .decontaminate import contaminated, contamination
@@ -62,6 +62,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(docs, model).withColumnRenamed("id", "doc_id")
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """The labels that toxicity may be learned from; the others are held out."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, training_labels(read_table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select(
+        F.col("id").alias("doc_id"),
+        (F.crc32(F.col("id").cast("string")) % 5 == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_warc(read_table(spark, sf_dir, "pages"), path)
@@ -125,7 +141,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_chat_formatting, op5_quality_rules, op7_warc_revisits, op8_byte_bpe, op9_token_files, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_chat_formatting, op5_quality_rules, op6_toxicity, op7_warc_revisits, op8_byte_bpe, op9_token_files, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
