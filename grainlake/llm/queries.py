@@ -11,6 +11,7 @@ from . import chat, quality, token_files, toxicity, warc
 from .bpe import encode_texts, token_digests
 from .common import fresh_path, read_table
 from .decontaminate import contaminated, contamination
+from .html_extract import extract
 from .simhash import near_duplicates
 
 
@@ -56,6 +57,11 @@ FROM coded GROUP BY conv_id
 """.replace("\\\\", "\\")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract(read_table(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -141,7 +147,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_chat_formatting, op5_quality_rules, op6_toxicity, op7_warc_revisits, op8_byte_bpe, op9_token_files, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_chat_formatting, op4_html_extraction, op5_quality_rules, op6_toxicity, op7_warc_revisits, op8_byte_bpe, op9_token_files, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
