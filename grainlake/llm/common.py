@@ -103,7 +103,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, up to n of them."""
     if len(_powers.get("up", ())) < n:
         inverse = pow(HASH_BASE, -1, 1 << 64)
@@ -151,7 +151,7 @@ class Words:
         n = len(self.data)
         if n == 0:
             return np.zeros(0, np.uint64)
-        up, down = _power_tables(n)
+        up, down = power_tables(n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
         return mix64((total[self.ends] - total[self.starts]) * down[self.starts])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, token_files, toxicity, warc
+from . import chat, context_mixing, quality, token_files, toxicity, warc
 from .bpe import encode_texts, token_digests
 from .common import fresh_path, read_table
 from .decontaminate import contaminated, contamination
@@ -15,6 +15,22 @@ from .html_extract import extract
 from .simhash import near_duplicates
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    model = context_mixing.fit(docs.where(~held_out))
+    return context_mixing.score(docs, model).select(
+        F.col("id").alias("doc_id"),
+        (F.crc32(F.col("id").cast("string")) % 7 == 2).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        "bits_per_byte",
+    )
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read_table(spark, sf_dir, "documents"))
     return out.select(
@@ -147,7 +163,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_chat_formatting, op4_html_extraction, op5_quality_rules, op6_toxicity, op7_warc_revisits, op8_byte_bpe, op9_token_files, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_simhash_near_dedup, op3_chat_formatting, op4_html_extraction, op5_quality_rules, op6_toxicity, op7_warc_revisits, op8_byte_bpe, op9_token_files, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
