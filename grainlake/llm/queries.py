@@ -162,8 +162,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_simhash_near_dedup, op3_chat_formatting, op4_html_extraction, op5_quality_rules, op6_toxicity, op7_warc_revisits, op8_byte_bpe, op9_token_files, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_simhash_near_dedup, op3_chat_formatting, op4_html_extraction, op5_quality_rules, op6_toxicity, op7_warc_revisits, op8_byte_bpe, op9_token_files, op10_benchmark_decontamination, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
