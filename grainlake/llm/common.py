@@ -7,9 +7,6 @@ words of such a piece with numpy alone, without a Python object per word.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,39 +14,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import fresh_path, materialise, shared_dir
+
+__all__ = ["ALNUM", "SPACED", "Words", "chunks", "fresh_path", "materialise", "mix64", "power_tables", "read_table", "shared_dir", "text_bytes"]
+
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 CHUNK_BYTES = 4 << 20
 #: Base of the polynomial word hash (odd, so that it has an inverse modulo 2**64).
 HASH_BASE = 0x9E3779B97F4A7C15
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in local tests, a temporary folder stands in.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "grainlake-shared")
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path for one result in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which cuts the lineage."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

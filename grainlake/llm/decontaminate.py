@@ -209,7 +209,7 @@ def contamination(
             vocabulary.append(spark.sparkContext.broadcast(np.unique(np.concatenate(terms))))
     index = build_index(docs, id_col, text_col, vocabulary)
     postings = index.where("term is not null")
-    frequency = dict(postings.groupBy("term").agg(F.sum("n")).toLocalIterator()) if vocabulary else {}
+    frequency = dict(postings.groupBy("term").agg(F.sum("n")).collect()) if vocabulary else {}
     frequency = {int(np.uint64(np.int64(t).view(np.uint64))): n for t, n in frequency.items()}
     pieces = []
     for k in range(n_pieces):

@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import Words, chunks, materialise
-from .graph import connected_components
 
 SEED = 42
 #: The largest number of fingerprints that the routing tree is fitted on, and of its leaves.
