@@ -25,34 +25,73 @@ from .common import chunks, materialise
 
 SEQUENCE = 2048
 ROWS = 64
-MAX_WORDS = 600_000
+MAX_WORDS = 500_000
 WORD_BYTES = 64
 
 
+#: Runs of these at a word's end are tokenized apart from what is before them.
+TRAILING = b".,;:!?#*$%&|"
+_LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
+
+
+def _core(word: bytes) -> bytes:
+    """The word without the symbols at its end, if a letter or digit is before them."""
+    core = word.rstrip(TRAILING)
+    if len(core) == len(word) or not core:
+        return word
+    return core if core[-1:].isalnum() or core[-1] >= 0x80 and core.decode()[-1].isalnum() else word
+
+
 class WordEncoder:
-    """A tokenizer that never reaches across ASCII white space, with a bounded table of words."""
+    """A tokenizer that lower-cases and never reaches across ASCII white space, with bounded tables of words.
+
+    A text with the start of a special token's string is encoded as a whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {b"": b""}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [x.split() for x in texts]
-        known = self.words
-        new = list({w for words in split for w in words if w not in known})
+    def _tokenize(self, texts: list[bytes]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
+        return [np.array(c.ids, "<u4").tobytes() for c in coded]
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        cut = [(w, core := _core(w), w[len(core) :]) for w in words]
+        new = list({x for _, core, tail in cut for x in (core, tail) if x not in self.parts})
         fresh = {}
         for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            coded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            for w, c in zip(part, coded):
-                fresh[w] = np.array(c.ids, "<u4").tobytes()
-        out = [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in split]
-        if len(known) + len(fresh) > MAX_WORDS:
-            known.clear()
-        known.update((w, c) for w, c in fresh.items() if len(w) <= WORD_BYTES)
+            fresh.update(zip(new[at : at + 4096], self._tokenize(new[at : at + 4096])))
+        find = lambda x: self.parts[x] if x in self.parts else fresh[x]
+        out = {w: find(core) + find(tail) for w, core, tail in cut}
+        if len(self.parts) + len(fresh) > MAX_WORDS:
+            self.parts = {b"": b""}
+        self.parts.update((x, c) for x, c in fresh.items() if len(x) <= WORD_BYTES)
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        found, get, missing = [], self.words.get, set()
+        for text in texts:
+            if b"<|" in text:
+                found.append(self._tokenize([text]))
+                continue
+            words = text.translate(_LOWER).split()
+            ids = list(map(get, words))
+            if None in ids:
+                for k, x in enumerate(ids):
+                    if x is None:
+                        ids[k] = words[k], None
+                        missing.add(words[k])
+            found.append(ids)
+        fresh = self._learn(list(missing))
+        out = [b"".join([fresh[x[0]] if type(x) is tuple else x for x in ids]) for ids in found]
+        if len(self.words) + len(fresh) > MAX_WORDS:
+            self.words.clear()
+        self.words.update((w, c) for w, c in fresh.items() if len(w) <= WORD_BYTES)
         return out
 
 
