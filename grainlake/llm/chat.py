@@ -118,6 +118,10 @@ def turns_of_rows(df: DataFrame, layouts=LAYOUTS) -> DataFrame:
     return df.select(*(F.col(c).alias(n) for c, n in zip(layout.rows, ("record", "turn", "role", "text"))))
 
 
+def _turns(items: Column, role: str, text: str) -> Column:
+    return F.transform(items, lambda x: F.struct(x[role].alias("role"), x[text].alias("text")))
+
+
 def turns_of_json(df: DataFrame, record: str, json: str, layouts=LAYOUTS) -> DataFrame:
     """Canonical turns of JSON records, each by the mapping that its own fingerprint selects.
 
@@ -131,7 +135,7 @@ def turns_of_json(df: DataFrame, record: str, json: str, layouts=LAYOUTS) -> Dat
         if layout.turns:
             field, role, text = layout.turns
             own = F.from_json("json", f"struct<`{field}`:array<struct<`{role}`:string,`{text}`:string>>>")[field]
-            own = F.transform(own, lambda x, r=role, t=text: F.struct(x[r].alias("role"), x[t].alias("text")))
+            own = _turns(own, role, text)
         elif layout.fields:
             names = [f for x in layout.fields for f in x[1:]]
             parsed = F.from_json("json", "struct<" + ",".join(f"`{f}`:string" for f in names) + ">")
