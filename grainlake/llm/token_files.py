@@ -52,9 +52,21 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closes[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {b"": b""}
 
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """Words of letters alone, encoded as one text, which is cut where a word's last token is."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+        if len(ends) != len(words):
+            return self._tokenize(words)
+        data = ids.tobytes()
+        return [data[lo:hi] for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
     def _tokenize(self, texts: list[bytes]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
         return [np.array(c.ids, "<u4").tobytes() for c in coded]
@@ -63,8 +75,11 @@ class WordEncoder:
         cut = [(w, core := _core(w), w[len(core) :]) for w in words]
         new = list({x for _, core, tail in cut for x in (core, tail) if x not in self.parts})
         fresh = {}
-        for at in range(0, len(new), 4096):
-            fresh.update(zip(new[at : at + 4096], self._tokenize(new[at : at + 4096])))
+        letters = [x for x in new if x.isalpha() or not x.isascii() and x.decode().isalpha()]
+        others = set(new).difference(letters)
+        for group, coder in ((letters, self._together), (list(others), self._tokenize)):
+            for at in range(0, len(group), 4096):
+                fresh.update(zip(group[at : at + 4096], coder(group[at : at + 4096])))
         find = lambda x: self.parts[x] if x in self.parts else fresh[x]
         out = {w: find(core) + find(tail) for w, core, tail in cut}
         if len(self.parts) + len(fresh) > MAX_WORDS:
