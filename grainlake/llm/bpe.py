@@ -31,8 +31,8 @@ from .common import chunks
 
 #: Bounds of the tables that a worker keeps: a full table of pairs or pieces is emptied and filled anew.
 MAX_STATES = 30_000
-MAX_PAIRS = 400_000
-MAX_PIECES = 700_000
+MAX_PAIRS = 200_000
+MAX_PIECES = 250_000
 #: Outside the table of states, output is emitted once so many tokens are held.
 LOOKBACK = 24
 #: Longer pieces are not kept in the table of pieces.
