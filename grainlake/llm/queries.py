@@ -19,7 +19,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     model = context_mixing.fit(docs.where(~held_out))
-    return context_mixing.score(docs, model).select(
+    return context_mixing.score(docs, model, learned=~held_out).select(
         F.col("id").alias("doc_id"),
         (F.crc32(F.col("id").cast("string")) % 7 == 2).alias("held_out"),
         "n_tokens",
