@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from struct import pack
 
 import numpy as np
@@ -252,28 +252,27 @@ def decode_texts(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(run, f"id {encoded.schema['id'].dataType.simpleString()}, text string")
 
 
-def token_digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``(id, n_tokens, ids_sha256, decoded_sha256)`` of ``encode_texts``; the decoded text is never held whole."""
+def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, n_tokens, ids_sha256, decoded_sha256)`` of every text, encoded and then decoded from its ids.
 
-    def decoded(own: Encoder, ids: bytes) -> str:
+    Both ways run in one Python worker a task, so a task holds the tables and
+    the batches once.  The decoded text is never held whole.  Nulls, empty
+    texts, repeated rows and empty tables count as in ``encode_texts``.
+    """
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def digests(own: Encoder, text: str | None) -> tuple[int, str, str]:
+        ids = own.encode(text) if text else b""
         h = hashlib.sha256()
-        for text in own.decode(ids):
-            h.update(text.encode())
-        return h.hexdigest()
+        for block in own.decode(ids):
+            h.update(block.encode())
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), h.hexdigest()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for b in chunks(batches, "ids"):
-            rows = [x or b"" for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([len(x) // 4 for x in rows], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in rows]),
-                    pa.array([decoded(own, x) for x in rows]),
-                ],
-                ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for b in chunks(batches, "text"):
+            n, ids, decoded = zip(*(digests(own, x) for x in b.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = source.schema["id"].dataType.simpleString()
+    return source.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, context_mixing, quality, token_files, toxicity, warc
-from .bpe import encode_texts, token_digests
+from .bpe import token_digests
 from .common import fresh_path, read_table
 from .decontaminate import contaminated, contamination
 from .html_extract import extract
@@ -139,8 +139,7 @@ def token_pattern() -> str:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = tokenizer_path("byte_bpe_50k.tiktoken"), token_pattern()
-    encoded = encode_texts(read_table(spark, sf_dir, "documents"), *tokenizer)
-    return token_digests(encoded, *tokenizer).withColumnRenamed("id", "doc_id")
+    return token_digests(read_table(spark, sf_dir, "documents"), *tokenizer).withColumnRenamed("id", "doc_id")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
