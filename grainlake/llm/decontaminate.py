@@ -175,6 +175,49 @@ class Phrases:
             lo = hi
 
 
+    def find_near(self, known: np.ndarray, lists: list[np.ndarray], first: np.ndarray, n_words: np.ndarray, slack: int, missing: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Documents, window numbers and terms in order of the proximity matches in a block.
+
+        One of a window's ``missing`` + 1 rarest terms comes in each of its matches, and proposes it.
+        """
+        place = np.searchsorted(known, self.terms)
+        own = np.where((place < len(known)) & (known[np.minimum(place, len(known) - 1)] == self.terms), place, -1)
+        at_place = np.full(int(first[-1] + n_words[-1]), -1, np.int32)
+        for k in np.unique(own[own >= 0]):
+            at_place[lists[k]] = k
+        for window, n in enumerate(self.length.tolist()):
+            absent, reach = min(missing, n // 6), n + slack
+            if (own[window, :n] < 0).sum() > absent:
+                continue
+            terms = np.empty(n, np.int32)
+            terms[self.offset[window, :n]] = own[window, :n]
+            anchors = [lists[k] for k in np.unique(own[window, : absent + 1]) if k >= 0]
+            anchor = np.unique(np.concatenate(anchors))
+            for lo in range(0, len(anchor), CANDIDATES // 64):
+                p = anchor[lo : lo + CANDIDATES // 64]
+                doc = np.searchsorted(first, p, "right") - 1
+                around = p[:, None] + np.arange(1 - reach, reach)
+                inside = (around >= first[doc, None]) & (around < (first + n_words)[doc, None])
+                words = np.where(inside, at_place[np.clip(around, 0, len(at_place) - 1)], -1)
+                some = np.flatnonzero((np.isin(words, terms) & (words >= 0)).sum(axis=1) >= n - absent)
+                most = np.zeros(len(some), np.int64)
+                for a in range(reach):
+                    most = np.maximum(most, _in_order(words[some, a : a + reach], terms))
+                found = most >= n - absent
+                if found.any():
+                    yield doc[some[found]], np.full(int(found.sum()), window), most[found]
+
+
+def _in_order(words: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Of each row of words, how many of the terms come in it in order."""
+    best = np.zeros((len(words), len(terms) + 1), np.int64)
+    for k in range(words.shape[1]):
+        same = (words[:, k, None] == terms[None, :]) & (terms >= 0)
+        longer = np.maximum(best[:, 1:], np.where(same, best[:, :-1] + 1, 0))
+        best[:, 1:] = np.maximum.accumulate(longer, axis=1)
+    return best[:, -1]
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -194,46 +237,18 @@ def contamination(
     items count once, repeated documents each keep a row; an empty table on
     either side gives rows without hits, or no rows.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    windows = materialise(
-        item_windows(items, item_col, item_text_col, width).groupBy("terms").agg(F.sort_array(F.collect_set("item")).alias("items")),
-        "test-windows",
-    )
-    n_pieces = max(1, -(-windows.count() // PIECE))
-    numbered = windows.withColumn("piece", F.pmod(F.xxhash64("terms"), F.lit(n_pieces)))
-    vocabulary = []
-    for k in range(n_pieces):
-        terms = [np.frombuffer(r.terms, np.uint64) for r in numbered.where(F.col("piece") == k).select("terms").toLocalIterator()]
-        if terms:
-            vocabulary.append(spark.sparkContext.broadcast(np.unique(np.concatenate(terms))))
-    index = build_index(docs, id_col, text_col, vocabulary)
-    postings = index.where("term is not null")
-    frequency = dict(postings.groupBy("term").agg(F.sum("n")).collect()) if vocabulary else {}
-    frequency = {int(np.uint64(np.int64(t).view(np.uint64))): n for t, n in frequency.items()}
-    pieces = []
-    for k in range(n_pieces):
-        rows = [(bytes(r.terms), list(r["items"])) for r in numbered.where(F.col("piece") == k).toLocalIterator()]
-        rows.sort()
-        if rows:
-            pieces.append(spark.sparkContext.broadcast(Phrases([x for x, _ in rows], [y for _, y in rows], frequency, width)))
+    index, pieces = _indexed(docs, items, id_col, text_col, item_col, item_text_col, width)
 
     def search(of_docs: pa.Table, of_terms: pa.Table) -> pa.Table:
-        order = np.argsort(of_docs.column("first").to_numpy(), kind="stable")
-        of_docs = of_docs.take(pa.array(order))
-        first = of_docs.column("first").to_numpy()
-        n_words = of_docs.column("n_words").to_numpy()
+        of_docs, first, n_words, known, lists = _block(of_docs, of_terms)
         size = int(first[-1] + n_words[-1])
         names: list[set] = [set() for _ in range(len(first))]
         edge = np.zeros(size + 1, np.int32)
         if of_terms.num_rows:
-            known = of_terms.column("term").to_numpy().view(np.uint64)
-            by = np.argsort(known)
-            data, n = of_terms.column("positions").to_pylist(), of_terms.column("n").to_pylist()
-            lists = [_unpack(data[k], n[k]) for k in by]
             for piece in pieces:
                 phrases = piece.value
-                for start, window in phrases.find(known[by], lists, size):
+                for start, window in phrases.find(known, lists, size):
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + phrases.length[window], -1)
                     doc = np.searchsorted(first, start, "right") - 1
@@ -250,10 +265,96 @@ def contamination(
             }
         )
 
-    found = index.where("term is null").select("block", "id", "first", "n_words").groupBy("block").cogroup(
-        postings.select("block", "term", "n", "positions").groupBy("block")
+    return _of_blocks(index).applyInArrow(search, f"id {kind}, n_words long, n_hit long, items array<string>")
+
+
+def proximity(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    width: int = WINDOW,
+    slack: int = 3,
+    missing: int = 2,
+) -> DataFrame:
+    """One row per document row and item with a proximity match: ``(id, item, n_terms, n_found)``.
+
+    A test window of n terms matches where at most ``missing`` of them, and at
+    most n / 6, are left out or changed, and the others come in the window's
+    order within n + ``slack`` consecutive words of a document.  Exact
+    occurrences match as well.  The row has the item's window with the fewest
+    terms missing.  Otherwise as ``contamination``.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    index, pieces = _indexed(docs, items, id_col, text_col, item_col, item_text_col, width)
+
+    def search(of_docs: pa.Table, of_terms: pa.Table) -> pa.Table:
+        of_docs, first, n_words, known, lists = _block(of_docs, of_terms)
+        best: dict = {}
+        for piece in pieces if len(known) else []:
+            phrases = piece.value
+            for doc, window, n in phrases.find_near(known, lists, first, n_words, slack, missing):
+                for d, w, m in set(zip(doc.tolist(), window.tolist(), n.tolist())):
+                    size = int(phrases.length[w])
+                    for item in phrases.items[w]:
+                        best[d, item] = max(best.get((d, item), (-size, 0, 0)), (m - size, m, size))
+        at = sorted(best)
+        return pa.table(
+            {
+                "id": of_docs.column("id").take(pa.array([d for d, _ in at], pa.int64())),
+                "item": pa.array([item for _, item in at], pa.string()),
+                "n_terms": pa.array([best[k][2] for k in at], pa.int64()),
+                "n_found": pa.array([best[k][1] for k in at], pa.int64()),
+            }
+        )
+
+    return _of_blocks(index).applyInArrow(search, f"id {kind}, item string, n_terms long, n_found long")
+
+
+def _block(of_docs: pa.Table, of_terms: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A block's documents in order, where they begin, their words, and its terms with their positions."""
+    order = np.argsort(of_docs.column("first").to_numpy(), kind="stable")
+    of_docs = of_docs.take(pa.array(order))
+    known = of_terms.column("term").to_numpy().view(np.uint64)
+    by = np.argsort(known)
+    data, n = of_terms.column("positions").to_pylist(), of_terms.column("n").to_pylist()
+    return of_docs, of_docs.column("first").to_numpy(), of_docs.column("n_words").to_numpy(), known[by], [_unpack(data[k], n[k]) for k in by]
+
+
+def _of_blocks(index: DataFrame):
+    """The documents and the postings of each block."""
+    docs, postings = index.where("term is null"), index.where("term is not null")
+    return docs.select("block", "id", "first", "n_words").groupBy("block").cogroup(postings.select("block", "term", "n", "positions").groupBy("block"))
+
+
+def _indexed(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, width: int) -> tuple[DataFrame, list]:
+    """The positional index of the test terms, and the test windows in broadcast pieces."""
+    spark = docs.sparkSession
+    windows = materialise(
+        item_windows(items, item_col, item_text_col, width).groupBy("terms").agg(F.sort_array(F.collect_set("item")).alias("items")),
+        "test-windows",
     )
-    return found.applyInArrow(search, f"id {kind}, n_words long, n_hit long, items array<string>")
+    n_pieces = max(1, -(-windows.count() // PIECE))
+    numbered = windows.withColumn("piece", F.pmod(F.xxhash64("terms"), F.lit(n_pieces)))
+    vocabulary = []
+    for k in range(n_pieces):
+        terms = [np.frombuffer(r.terms, np.uint64) for r in numbered.where(F.col("piece") == k).select("terms").toLocalIterator()]
+        if terms:
+            vocabulary.append(spark.sparkContext.broadcast(np.unique(np.concatenate(terms))))
+    index = build_index(docs, id_col, text_col, vocabulary)
+    postings = index.where("term is not null")
+    frequency = dict(postings.groupBy("term").agg(F.sum("n")).collect()) if vocabulary else {}
+    frequency = {int(np.uint64(np.int64(t).view(np.uint64))): n for t, n in frequency.items()}
+    pieces = []
+    for k in range(n_pieces):
+        rows = [(bytes(r.terms), list(r["items"])) for r in numbered.where(F.col("piece") == k).toLocalIterator()]
+        rows.sort()
+        if rows:
+            pieces.append(spark.sparkContext.broadcast(Phrases([x for x, _ in rows], [y for _, y in rows], frequency, width)))
+
+    return index, pieces
 
 
 def contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):
