@@ -7,7 +7,7 @@ words of such a piece with numpy alone, without a Python object per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import fresh_path, materialise, shared_dir
 
-__all__ = ["ALNUM", "SPACED", "Words", "chunks", "fresh_path", "materialise", "mix64", "power_tables", "read_table", "shared_dir", "text_bytes"]
+__all__ = ["ALNUM", "SPACED", "Words", "chunks", "fresh_path", "keep_rows", "materialise", "mix64", "power_tables", "read_table", "shared_dir", "text_bytes"]
 
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 CHUNK_BYTES = 1 << 20
@@ -46,6 +46,20 @@ def chunks(
             at = end
 
 
+def keep_rows(docs: DataFrame, text_col: str, verdict: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, for whose texts ``verdict`` says true.
+
+    The texts are judged and the rows filtered in one pass, so nothing is
+    shuffled and each row is judged by itself, whatever its id.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, text_col):
+            yield b.filter(pa.array(verdict(b.column(b.schema.get_field_index(text_col))), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and the n + 1 offsets; null counts as empty."""
     column = pc.fill_null(column, "")

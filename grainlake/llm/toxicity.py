@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, materialise
+from .common import Words, chunks, keep_rows, materialise
 
 #: Letters of a subsequence, the widest span it may have, and the decay for each place of gap.
 LETTERS, SPAN, DECAY = 4, 6, 0.5
@@ -219,13 +219,14 @@ def learn(bags: list[list[bytes]], harmless: list[bytes]) -> ToxicityModel | Non
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> ToxicityModel | None:
     """Learn from at most ``TEXTS`` texts of either label, taken in order of a hash of their id.
 
-    Ids labelled both ways count as toxic; null ids and labels are left out.
-    None if a label is missing altogether; nothing is then toxic.
+    Ids labelled both ways count as toxic; null ids and labels are left out; of
+    several texts with one id the first in order is learned from.  None if a
+    label is missing altogether; nothing is then toxic.
     """
     given = labels.where(F.col(id_col).isNotNull() & F.col(toxic_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(toxic_col).alias("toxic"))
     chosen = given.where("toxic = 1").orderBy(F.xxhash64("id"), "id").limit(TEXTS).union(given.where("toxic = 0").orderBy(F.xxhash64("id"), "id").limit(TEXTS))
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = materialise(text.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "text", "toxic"), "toxicity-sample")
+    sample = materialise(text.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).select("id", "text", "toxic"), "toxicity-sample")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
@@ -260,6 +261,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
+def _values(column: pa.Array, m: ToxicityModel | None) -> tuple[np.ndarray, np.ndarray]:
+    """The decision value and the probability of each text of a column."""
+    value = np.full(len(column), -1e3)
+    if m is None:
+        return value, np.zeros(len(value))
+    s = Spelling(column)
+    np.maximum.at(value, s.doc, s.scores(m.weight) + m.bias)
+    return value, np.where(value <= -1e3, 0.0, m.probability(value))
+
+
 def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, value, score)`` per text: the decision value of its most toxic word, and that as a probability.
 
@@ -270,14 +281,14 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = broadcast.value
         for b in chunks(batches, "text"):
-            value = np.full(b.num_rows, -1e3)
-            if m is not None:
-                s = Spelling(b.column(1))
-                np.maximum.at(value, s.doc, s.scores(m.weight) + m.bias)
-            p = m.probability(value) if m is not None else np.zeros(len(value))
-            p = np.where(value <= -1e3, 0.0, p)
+            value, p = _values(b.column(1), broadcast.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(value), pa.array(p)], ["id", "value", "score"])
 
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, value double, score double")
+
+
+def harmless(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores less than ``least``; cases as in ``score``."""
+    broadcast = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text_col, lambda column: _values(column, broadcast.value)[1] < least)
