@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset, as in local tests, a temporary folder."""
+    """``spark.checkpoint.dir``; where that is unset a temporary folder, but only if all runs on this machine.
+
+    On a cluster without that setting there is no folder that driver and
+    executors are known to share, which is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "grainlake-shared")
     return folder.rstrip("/")
 
