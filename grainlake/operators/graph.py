@@ -2,11 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise
 
+#: Edges that a task reduces to a forest before any round is taken.
+EDGES = 500_000
+
+
+def merge_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after joining i with j: each member's label is the smallest position it reaches."""
+    while True:
+        a, b = label[i], label[j]
+        open_ = a != b
+        if not open_.any():
+            return label
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(label, jumped := label[label]):
+            label = jumped
+
+
+def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges of a partition as stars around the smallest node of each of its components."""
+    edges = [p for p in parts if len(p)]
+    if edges:
+        node, place = np.unique(np.concatenate([p[c].to_numpy() for c in ("u", "v") for p in edges]), return_inverse=True)
+        label = merge_labels(np.arange(len(node)), *np.split(place, 2))
+        inner = np.flatnonzero(label != np.arange(len(node)))
+        yield pd.DataFrame({"u": node[inner], "v": node[label[inner]]})
+
 
 def _large_star(e: DataFrame, keys: list[str]) -> DataFrame:
     """Every larger neighbour of a node points to the smallest node it can see from there."""
@@ -36,6 +66,12 @@ def connected_components(edges: DataFrame, name: str = "components", keys: tuple
     k = list(keys)
     e = edges.where("u is not null and v is not null and u <> v")
     e = materialise(e.select(*k, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    if not k:
+        # a task's edges become a forest first, so that a dense component costs no more than its nodes
+        tasks = max(1, e.count() // EDGES)
+        e = materialise(e.coalesce(tasks).mapInPandas(_forest, e.schema), name)
+        if tasks == 1:
+            return e
     mark = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64(*k, "u", "v").cast("decimal(38,0)"))).first()
