@@ -34,14 +34,6 @@ TRAILING = b".,;:!?#*$%&|"
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 
-def _core(word: bytes) -> bytes:
-    """The word without the symbols at its end, if a letter or digit is before them."""
-    core = word.rstrip(TRAILING)
-    if len(core) == len(word) or not core:
-        return word
-    return core if core[-1:].isalnum() or core[-1] >= 0x80 and core.decode()[-1].isalnum() else word
-
-
 class WordEncoder:
     """A tokenizer that lower-cases and never reaches across ASCII white space, with bounded tables of words.
 
@@ -58,6 +50,21 @@ class WordEncoder:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {b"": b""}
 
+    def _core(self, word: bytes) -> bytes:
+        """The word without the symbols at its end, if what is before them still ends in a letter or digit once it is normalised.
+
+        Normalising may turn a last letter into a letter and a mark, which the symbols would then join.
+        """
+        core = word.rstrip(TRAILING)
+        if len(core) == len(word) or not core:
+            return word
+        if core[-1] < 0x80:
+            return core if core[-1:].isalnum() else word
+        text = core.decode()
+        if self.tokenizer.normalizer:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        return core if text[-1:].isalnum() else word
+
     def _together(self, words: list[bytes]) -> list[bytes]:
         """Words of letters alone, encoded as one text, which is cut where a word's last token is."""
         ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
@@ -72,7 +79,7 @@ class WordEncoder:
         return [np.array(c.ids, "<u4").tobytes() for c in coded]
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        cut = [(w, core := _core(w), w[len(core) :]) for w in words]
+        cut = [(w, core := self._core(w), w[len(core) :]) for w in words]
         new = list({x for _, core, tail in cut for x in (core, tail) if x not in self.parts})
         fresh = {}
         letters = [x for x in new if x.isalpha() or not x.isascii() and x.decode().isalpha()]
@@ -183,12 +190,15 @@ def write_token_files(
     every executor has and whose words end at ASCII white space; ``width`` is
     the bits of an id in the files.  ``end_id`` follows each document; null and
     empty texts have that id alone.  Null ids come first, repeated ids in order
-    of their text.  An empty table writes no files and gives an empty manifest.
+    of a hash of their text.  Ids too large for ``width`` are an error.  An empty table writes no files and gives an empty manifest.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = source.repartitionByRange(n, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    ordered = source.repartitionByRange(n, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
     kind = {16: pa.uint16(), 32: pa.uint32()}[width]
+    largest = max(end_id, len(word_encoder(path).closes) - 1)
+    if largest >= 1 << width:
+        raise ValueError(f"ids up to {largest} do not fit {width} bits")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
