@@ -54,6 +54,7 @@ class Layout:
 
 LAYOUTS = (
     Layout("turn rows", ("conv_id", "role", "text", "turn"), rows=("conv_id", "turn", "role", "text")),
+    Layout("posts of a thread", ("author_role", "body", "position", "thread_id"), rows=("thread_id", "position", "author_role", "body")),
     Layout("messages", ("messages[].content", "messages[].role"), turns=("messages", "role", "content")),
     Layout("from and value", ("conversations[].from", "conversations[].value"), turns=("conversations", "from", "value")),
     Layout("instruction", ("input", "instruction", "output"), fields=(("user", "instruction", "input"), ("assistant", "output"))),
@@ -65,33 +66,22 @@ LAYOUTS = (
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def _shape(paths: tuple[str, ...]) -> str:
-    """The paths as the text that ``_json_shape`` gives for such a record."""
-    tree: dict = {}
-    for path in paths:
-        at = tree
-        for part in path.replace("[]", ".[]").split("."):
-            at = at.setdefault(part, {})
-
-    def write(node: dict) -> str:
-        if not node:
-            return "*"
-        if "[]" in node:
-            return f"ARRAY<{write(node['[]'])}>"
-        return "OBJECT<" + ", ".join(f"{k}: {write(node[k])}" for k in sorted(node)) + ">"
+def fingerprint(paths) -> Column:
+    """The hash of a layout's nested field paths, in order."""
+    return F.xxhash64(F.lit("\n".join(sorted(paths))))
 
-    return write(tree)
 
+def _known_paths(layouts) -> list[str]:
+    return sorted({p for x in layouts for p in x.paths})
 
-def fingerprint(paths) -> Column:
-    """The hash of a layout's nested field paths."""
-    return F.xxhash64(F.lit(_shape(tuple(sorted(paths)))))
 
+def json_fingerprint(record: Column, layouts=LAYOUTS) -> Column:
+    """The hash of those nested field paths of a parsed JSON record that some layout knows.
 
-def _json_shape(json: Column) -> Column:
-    """The nested field paths of a JSON record, scalar types left out; null if it is no JSON."""
-    shape = F.schema_of_variant(F.try_parse_json(json))
-    return F.regexp_replace(shape, r"\b(STRING|BOOLEAN|BIGINT|DOUBLE|FLOAT|VOID|DECIMAL\(\d+,\d+\))(?=[,>]|$)", "*")
+    A field in a list counts if the list's first element has it.
+    """
+    have = [F.when(F.variant_get(record, "$." + p.replace("[]", "[0]"), "variant").isNotNull(), F.lit(p)) for p in _known_paths(layouts)]
+    return F.xxhash64(F.array_join(F.array_compact(F.array(*have)), "\n"))
 
 
 def schema_paths(schema: T.StructType) -> list[str]:
@@ -106,16 +96,20 @@ def schema_paths(schema: T.StructType) -> list[str]:
 
 
 def turns_of_rows(df: DataFrame, layouts=LAYOUTS) -> DataFrame:
-    """Canonical turns of a table of turns, whose layout is the one with all its paths among the table's.
+    """Canonical turns of a table of turns, by the mapping that the fingerprint of its field paths selects.
 
-    Further columns are ignored.  A table of no known layout is an error.
+    Columns that no layout knows are ignored.  Every mapping whose columns the
+    table has is declared; the fingerprint decides which of them holds.  A
+    table without such columns is an error; one whose fingerprint selects none
+    of them gives rows of nulls.
     """
     have = set(schema_paths(df.schema))
-    known = [x for x in layouts if x.rows and have >= set(x.paths)]
-    if not known:
+    mark = fingerprint(have & set(_known_paths(layouts)))
+    possible = [x for x in layouts if x.rows and have >= set(x.paths)]
+    if not possible:
         raise ValueError(f"no layout has these field paths: {sorted(have)}")
-    layout = max(known, key=lambda x: len(x.paths))
-    return df.select(*(F.col(c).alias(n) for c, n in zip(layout.rows, ("record", "turn", "role", "text"))))
+    names = ("record", "turn", "role", "text")
+    return df.select(*(F.coalesce(*(F.when(mark == fingerprint(x.paths), F.col(x.rows[k])) for x in possible)).alias(n) for k, n in enumerate(names)))
 
 
 def _turns(items: Column, role: str, text: str) -> Column:
@@ -125,11 +119,12 @@ def _turns(items: Column, role: str, text: str) -> Column:
 def turns_of_json(df: DataFrame, record: str, json: str, layouts=LAYOUTS) -> DataFrame:
     """Canonical turns of JSON records, each by the mapping that its own fingerprint selects.
 
-    Null field values are empty texts.  A record that is null, no JSON or of no
-    known layout keeps one row with a null turn, role and text.
+    Null field values are empty texts; fields that no layout knows are ignored.
+    A record that is null, no JSON, too large for a variant or of no known
+    layout keeps one row with a null turn, role and text.
     """
     turn = "struct<role:string,text:string>"
-    source = df.select(F.col(record).alias("record"), F.col(json).alias("json")).withColumn("mark", F.xxhash64(_json_shape(F.col("json"))))
+    source = df.select(F.col(record).alias("record"), F.col(json).alias("json")).withColumn("mark", json_fingerprint(F.try_parse_json("json"), layouts))
     made = F.lit(None).cast(f"array<{turn}>")
     for layout in layouts:
         if layout.turns:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +44,8 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.turns_of_rows(read_table(spark, sf_dir, "conversations"))
     hard = "\\### Assistant: </turn> ok"
-    more = spark.range(2).select(F.lit(-7).alias("record"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    record = json.dumps({"messages": [{"role": role, "content": hard} for role in ("user", "assistant")]})
+    more = chat.turns_of_json(spark.range(1).select(F.lit(-7).alias("record"), F.lit(record).alias("json")), "record", "json")
     made = chat.format_turns(rows.unionByName(more))
     read = made.select("*", chat.parse_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
