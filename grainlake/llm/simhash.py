@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
+from ..operators.graph import connected_components, merge_labels
 from .common import Words, chunks, materialise
 
 SEED = 42
@@ -151,24 +151,11 @@ def _links(fp: np.ndarray, radius: int, rng: np.random.Generator, at: np.ndarray
         i, j = np.nonzero(np.bitwise_count(x[lo : lo + BLOCK, None] ^ x[None, :]) <= radius)
         i += lo
         keep = i > j
-        label = _merge(label, i[keep], j[keep])
+        label = merge_labels(label, i[keep], j[keep])
     linked = np.flatnonzero(label != np.arange(len(at)))
     out.append((at[linked], at[label[linked]]))
 
 
-def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Labels after joining i with j: each member's label is the smallest position it reaches."""
-    while True:
-        a, b = label[i], label[j]
-        open_ = a != b
-        if not open_.any():
-            return label
-        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while not np.array_equal(label, jumped := label[label]):
-            label = jumped
-
-
 def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """``(u, v)``: links that connect the distinct fingerprints ``fp`` exactly as Hamming distance <= radius does.
 

@@ -123,6 +123,16 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.read_token_files(token_files.write_token_files(none, folder + "2", WORDS, end_id=1), folder + "2").count() == 0
 
 
+def test_words_before_symbols_of_all_letters():
+    library, own = Tokenizer.from_file(WORDS), token_files.WordEncoder(WORDS)
+    for first in range(0x80, 0x2FFFF, 0x4000):
+        texts = [f"a{chr(c)}. {chr(c)}! {chr(c)}," for c in range(first, first + 0x4000) if not 0xD800 <= c < 0xE000]
+        want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])] == want
+    for text in ("İ.", "KAPALI İ!", "xक़!"):
+        assert np.frombuffer(own.encode([text.encode()])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_quality_counts(spark, docs):
     got = {r.id: r for r in quality.measure(docs, None).collect()}
     assert got[0].n_words == 0 and got[0].base_failed and not got[0].kept
@@ -179,13 +189,23 @@ def test_chat_layouts_by_fingerprint(spark):
         (2, '{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}'),
         (3, '{"output":"b","instruction":"a","input":""}'),
         (4, '{"prompt":"a","completion":"b"}'),
+        (7, '{"id":9,"messages":[{"role":"user","content":"a","name":"x"},{"role":"assistant","content":"b"}],"source":{"prompt":1}}'),
+        (8, '{"messages":[],"output":"b"}'),
         (5, "no json"),
         (6, None),
     ]
     turns = chat.turns_of_json(spark.createDataFrame(rows, "n long, j string"), "n", "j").orderBy("record", "turn").collect()
-    for n in (1, 2, 3, 4):
+    for n in (1, 2, 3, 4, 7):
         assert [(t.role, t.text) for t in turns if t.record == n] == [("user", "a"), ("assistant", "b")]
-    assert [t.turn for t in turns if t.record > 4] == [None, None]
+    assert [t.turn for t in turns if t.record in (5, 6, 8)] == [None, None, None]
+
+
+def test_chat_rows_by_fingerprint(spark):
+    posts = spark.createDataFrame([("t", 0, "user", "hi", 1)], "thread_id string, position int, author_role string, body string, other int")
+    assert [tuple(r) for r in chat.turns_of_rows(posts).collect()] == [("t", 0, "user", "hi")]
+    with pytest.raises(ValueError):
+        chat.turns_of_rows(posts.drop("body"))
+    assert chat.format_turns(chat.turns_of_rows(posts.where("false"))).count() == 0
 
 
 def test_warc(spark, tmp_path):
