@@ -1,46 +1,39 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The corpus is indexed in blocks of documents.  For each block and test term the
-index stores the term's positions in the block, delta-coded; the documents of a
-block lie one after the other with one free position between them, so that no
-phrase reaches from one into the next.  A query phrase is answered inside each
-block: the positions of its rarest term (over the whole corpus) propose starts,
-and the lists of its other terms, shifted by their offsets, are intersected in
-order of rarity.
+The corpus is indexed in blocks of documents.  For each block and term, of all
+terms, the index stores the term's positions in the block, delta-coded; the
+documents of a block lie one after the other with one free position between
+them, so that no phrase reaches from one into the next.  Test windows meet the
+blocks by joining their rarest term (over the whole corpus) with the postings.
+Inside a block the positions of that term propose starts, and the lists of the
+window's other terms, shifted by their offsets, are intersected in order of
+rarity.  Nothing of the test set or the index passes through the driver.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM, Words, chunks, materialise
 
 WINDOW = 13
-#: Words in an index block, and test windows held by a task at a time.
+#: Words in an index block, test windows looked at together, and places proposed together.
 BLOCK_WORDS = 1 << 21
-PIECE = 200_000
+PIECE = 20_000
 CANDIDATES = 1 << 21
 
 INDEX_SCHEMA = "block long, id {id}, first int, n_words int, term long, n long, positions binary"
 
 
-def _pack(positions: np.ndarray) -> bytes:
-    return pa.compress(np.diff(positions, prepend=0).astype(np.int32).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.int32))
-
-
 def item_windows(items: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``(item, terms)``: each item's windows of ``width`` consecutive words, as packed word hashes.
+    """``(item, terms)``: each item's windows of ``width`` consecutive words, as word hashes.
 
     An item of fewer words, but not none, is one window.
     """
@@ -49,107 +42,127 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, width: int) -> Da
         for b in chunks(batches, "text"):
             w = Words(b.column(1), ALNUM)
             h = w.hashes()
-            ids, out = [], []
-            for k, item in enumerate(b.column(0).to_pylist()):
-                own = h[w.offsets[k] : w.offsets[k + 1]]
-                for i in range(max(1, len(own) - width + 1) if len(own) else 0):
-                    ids.append(item)
-                    out.append(own[i : i + width].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.binary())], ["item", "terms"])
+            n = np.diff(w.offsets)
+            windows = np.where(n > 0, np.maximum(1, n - width + 1), 0)
+            item = np.repeat(np.arange(len(n)), windows)
+            first = w.offsets[item] + np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
+            size = np.minimum(width, n[item])
+            at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            terms = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(h[at].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(item)), terms], ["item", "terms"])
 
-    source = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "item string, terms binary")
+    source = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, "item string, terms array<long>")
 
 
-def build_index(docs: DataFrame, id_col: str, text_col: str, vocabulary: list) -> DataFrame:
-    """The positional index of ``docs`` for the terms in ``vocabulary``, written to the shared folder.
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The positional index of ``docs``, written to the shared folder; it serves any test set.
 
-    ``vocabulary`` is a list of broadcast sorted arrays of term hashes.  A row
-    with a null term describes a document: its first position in the block and
-    its number of words (null or empty text: none).  Other rows are postings.
+    A row with a null term describes a document: its first position in the
+    block and its number of words (null or empty text: none).  Other rows are
+    postings: a term, how often it comes in the block, and where.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
+    names = ["block", "id", "first", "n_words", "term", "n", "positions"]
 
-    def block_rows(block: int, ids: list, firsts: list, counts: list, places: list, terms: list, schema) -> pa.RecordBatch:
+    def block_rows(block: int, ids: list, firsts: list, counts: list, places: list, terms: list) -> pa.RecordBatch:
         place, term = np.concatenate(places), np.concatenate(terms)
         order = np.argsort(term, kind="stable")
         place, term = place[order], term[order]
-        at = np.flatnonzero(np.r_[len(term) > 0, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
-        ends = np.r_[at[1:], len(term)] if len(at) else at
+        at = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+        step = np.diff(place, prepend=0)
+        step[at] = place[at]
+        ends = np.r_[at[1:], len(term)].astype(np.int64) if len(at) else at
         ids = pa.concat_arrays(ids)
         n, m = len(ids), len(at)
+        data = step.astype("<i4").tobytes()
+        starts = np.r_[np.zeros(n + 1, np.int32), (4 * ends).astype(np.int32)]
+        missing = np.r_[np.zeros(n, bool), np.ones(m, bool)]
+        packed = pa.Array.from_buffers(pa.binary(), n + m, [pa.py_buffer(np.packbits(missing, bitorder="little").tobytes()), pa.py_buffer(starts.tobytes()), pa.py_buffer(data)])
         nulls = lambda k, t: pa.nulls(k, t)
-        first, n_words = np.concatenate(firsts), np.concatenate(counts)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(n + m, block)),
                 pa.concat_arrays([ids, nulls(m, ids.type)]),
-                pa.concat_arrays([pa.array(first, pa.int32()), nulls(m, pa.int32())]),
-                pa.concat_arrays([pa.array(n_words, pa.int32()), nulls(m, pa.int32())]),
+                pa.concat_arrays([pa.array(np.concatenate(firsts), pa.int32()), nulls(m, pa.int32())]),
+                pa.concat_arrays([pa.array(np.concatenate(counts), pa.int32()), nulls(m, pa.int32())]),
                 pa.concat_arrays([nulls(n, pa.int64()), pa.array(term[at].view(np.int64))]),
                 pa.concat_arrays([nulls(n, pa.int64()), pa.array((ends - at).astype(np.int64))]),
-                pa.concat_arrays([nulls(n, pa.binary()), pa.array([_pack(place[i:j]) for i, j in zip(at, ends)], pa.binary())]),
+                packed,
             ],
-            ["block", "id", "first", "n_words", "term", "n", "positions"],
+            names,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unique(np.concatenate([v.value for v in vocabulary])) if vocabulary else np.zeros(0, np.uint64)
-        # a small table of the hashes' low bits turns most other words away
-        bits = max(16, int(len(known)).bit_length() + 4)
-        low = np.uint64((1 << bits) - 1)
-        maybe = np.zeros(1 << bits, bool)
-        maybe[known & low] = True
         block, size = TaskContext.get().partitionId() << 24, 0
         state: tuple[list, ...] = ([], [], [], [], [])
         for b in chunks(batches, "text"):
             w = Words(b.column(1), ALNUM)
-            h = w.hashes()
             n_words = np.diff(w.offsets)
             shift = size + np.arange(len(n_words))
-            if len(known) and len(h):
-                at = np.flatnonzero(maybe[h & low])
-                found = known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]
-                at = at[found]
-            else:
-                at = np.zeros(0, np.int64)
-            doc = np.searchsorted(w.offsets, at, "right") - 1
-            for into, new in zip(state, (b.column(0), w.offsets[:-1] + shift, n_words, at + shift[doc], h[at])):
+            doc = np.repeat(np.arange(len(n_words)), n_words)
+            places = np.arange(len(doc)) + shift[doc]
+            for into, new in zip(state, (b.column(0), w.offsets[:-1] + shift, n_words, places.astype(np.int32), w.hashes())):
                 into.append(new)
-            size += len(h) + len(n_words)
+            size += len(doc) + len(n_words)
             if size >= BLOCK_WORDS:
-                yield block_rows(block, *state, None)
+                yield block_rows(block, *state)
                 block, size, state = block + 1, 0, ([], [], [], [], [])
         if state[0]:
-            yield block_rows(block, *state, None)
+            yield block_rows(block, *state)
 
     return materialise(source.mapInArrow(run, INDEX_SCHEMA.format(id=kind)), "positional-index")
 
 
+def ranked_windows(index: DataFrame, items: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``(items, ranked)``: each distinct test window, the items that have it, and its terms in order of rarity.
+
+    ``ranked`` holds ``(often, offset, term)``; ``often`` counts the term in the
+    whole corpus and is 0 for a term that it has nowhere.
+    """
+    windows = item_windows(items, id_col, text_col, width).groupBy("terms").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    windows = materialise(windows, "test-windows")
+    terms = windows.select("terms", "items", F.posexplode("terms").alias("offset", "term"))
+    often = index.where("term is not null").select("term", "n").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("often"))
+    ranked = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).cast("long").alias("often"), "offset", "term"))).alias("ranked")
+    rated = terms.join(often, "term", "left").groupBy("terms").agg(F.first("items").alias("items"), ranked)
+    return materialise(rated.select("items", "ranked"), "ranked-windows")
+
+
+def _met(index: DataFrame, ranked: DataFrame, proposing: Column, twice: bool):
+    """The rows of each block that bear on the test, beside the windows that one of their ``proposing`` terms brings there."""
+    test_terms = ranked.select(F.explode("ranked.term").alias("term")).distinct()
+    docs, postings = index.where("term is null"), index.where("term is not null")
+    rows = docs.unionByName(postings.join(test_terms, "term", "left_semi").select(*index.columns))
+    brought = ranked.select("items", "ranked", F.explode(proposing).alias("by")).select("items", "ranked", F.col("by.term").alias("term"))
+    windows = brought.join(postings.select(F.col("block").alias("in_block"), "term"), "term").select("in_block", "items", "ranked")
+    if twice:
+        windows = windows.groupBy("in_block", "ranked").agg(F.first("items").alias("items")).select("in_block", "items", "ranked")
+    return rows.groupBy("block").cogroup(windows.groupBy("in_block"))
+
+
 class Phrases:
-    """A piece of the test windows, their terms in order of rarity."""
-
-    def __init__(self, windows: list[bytes], items: list[list[str]], frequency: dict[int, int], width: int):
-        n = len(windows)
-        self.items = items
-        self.length = np.array([len(x) // 8 for x in windows], np.int32)
-        self.terms = np.zeros((n, width), np.uint64)
-        self.offset = np.zeros((n, width), np.int32)
-        self.possible = np.ones(n, bool)
-        for k, x in enumerate(windows):
-            h = np.frombuffer(x, np.uint64)
-            often = np.array([frequency.get(t, 0) for t in h.tolist()])
-            self.possible[k] = often.min() > 0
-            order = np.argsort(often, kind="stable")
-            order = np.r_[order, np.repeat(order[:1], width - len(order))]
-            self.terms[k], self.offset[k] = h[order], order
+    """Some test windows, their terms in order of rarity."""
+
+    def __init__(self, windows: pa.Table):
+        ranked = windows.column("ranked").combine_chunks()
+        self.items = windows.column("items").to_pylist()
+        self.length = np.diff(ranked.offsets.to_numpy()).astype(np.int32)
+        rows = ranked.flatten()
+        width = int(self.length.max())
+        # rows shorter than the longest repeat their rarest term
+        column = np.arange(width)[None, :]
+        begin = np.cumsum(self.length) - self.length
+        at = begin[:, None] + np.where(column < self.length[:, None], column, 0)
+        self.terms = rows.field("term").to_numpy().view(np.uint64)[at]
+        self.offset = rows.field("offset").to_numpy()[at].astype(np.int32)
 
     def find(self, known: np.ndarray, lists: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Starts and window numbers of all occurrences in a block of ``size`` positions."""
         own = np.searchsorted(known, self.terms)
         own = np.where((own < len(known)) & (known[np.minimum(own, len(known) - 1)] == self.terms), own, -1)
-        live = np.flatnonzero(self.possible & (own >= 0).all(axis=1))
+        live = np.flatnonzero((own >= 0).all(axis=1))
         if not len(live):
             return
         at_place = np.full(size, -1, np.int32)
@@ -233,27 +246,28 @@ def contamination(
     window, ``items`` lists (as sorted strings) the items that have one.  Words
     are runs of ASCII letters and digits, lower-cased, and of any characters
     beyond ASCII; they are compared by a 64-bit hash.  Null and empty texts have
-    no words and hit nothing; items with a null id are left out; repeated
-    items count once, repeated documents each keep a row; an empty table on
+    no words and hit nothing; windows of items with a null id are hit but name
+    no item; repeated items count once, repeated documents each keep a row; an empty table on
     either side gives rows without hits, or no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    index, pieces = _indexed(docs, items, id_col, text_col, item_col, item_text_col, width)
+    index = build_index(docs, id_col, text_col)
+    ranked = ranked_windows(index, items, item_col, item_text_col, width)
+    found = ranked.where(F.col("ranked")[0]["often"] > 0)
 
-    def search(of_docs: pa.Table, of_terms: pa.Table) -> pa.Table:
-        of_docs, first, n_words, known, lists = _block(of_docs, of_terms)
+    def search(rows: pa.Table, windows: pa.Table) -> pa.Table:
+        of_docs, first, n_words, known, lists = _block(rows)
         size = int(first[-1] + n_words[-1])
         names: list[set] = [set() for _ in range(len(first))]
         edge = np.zeros(size + 1, np.int32)
-        if of_terms.num_rows:
-            for piece in pieces:
-                phrases = piece.value
-                for start, window in phrases.find(known, lists, size):
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + phrases.length[window], -1)
-                    doc = np.searchsorted(first, start, "right") - 1
-                    for d, x in set(zip(doc.tolist(), window.tolist())):
-                        names[d].update(phrases.items[x])
+        for lo in range(0, windows.num_rows, PIECE):
+            phrases = Phrases(windows.slice(lo, PIECE))
+            for start, window in phrases.find(known, lists, size):
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + phrases.length[window], -1)
+                doc = np.searchsorted(first, start, "right") - 1
+                for d, x in set(zip(doc.tolist(), window.tolist())):
+                    names[d].update(phrases.items[x])
         covered = np.r_[0, np.cumsum(np.cumsum(edge[:-1]) > 0)]
         hit = covered[first + n_words] - covered[first]
         return pa.table(
@@ -265,7 +279,8 @@ def contamination(
             }
         )
 
-    return _of_blocks(index).applyInArrow(search, f"id {kind}, n_words long, n_hit long, items array<string>")
+    rarest = F.slice("ranked", 1, 1)
+    return _met(index, found, rarest, False).applyInArrow(search, f"id {kind}, n_words long, n_hit long, items array<string>")
 
 
 def proximity(
@@ -288,13 +303,14 @@ def proximity(
     terms missing.  Otherwise as ``contamination``.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    index, pieces = _indexed(docs, items, id_col, text_col, item_col, item_text_col, width)
+    index = build_index(docs, id_col, text_col)
+    ranked = ranked_windows(index, items, item_col, item_text_col, width)
 
-    def search(of_docs: pa.Table, of_terms: pa.Table) -> pa.Table:
-        of_docs, first, n_words, known, lists = _block(of_docs, of_terms)
+    def search(rows: pa.Table, windows: pa.Table) -> pa.Table:
+        of_docs, first, n_words, known, lists = _block(rows)
         best: dict = {}
-        for piece in pieces if len(known) else []:
-            phrases = piece.value
+        for lo in range(0, windows.num_rows, PIECE):
+            phrases = Phrases(windows.slice(lo, PIECE))
             for doc, window, n in phrases.find_near(known, lists, first, n_words, slack, missing):
                 for d, w, m in set(zip(doc.tolist(), window.tolist(), n.tolist())):
                     size = int(phrases.length[w])
@@ -310,58 +326,22 @@ def proximity(
             }
         )
 
-    return _of_blocks(index).applyInArrow(search, f"id {kind}, item string, n_terms long, n_found long")
+    # of a window's (missing + 1) rarest terms one is in each of its matches
+    proposing = F.slice("ranked", F.lit(1), F.lit(missing + 1))
+    return _met(index, ranked, proposing, True).applyInArrow(search, f"id {kind}, item string, n_terms long, n_found long")
 
 
-def _block(of_docs: pa.Table, of_terms: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+def _block(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """A block's documents in order, where they begin, their words, and its terms with their positions."""
-    order = np.argsort(of_docs.column("first").to_numpy(), kind="stable")
-    of_docs = of_docs.take(pa.array(order))
+    posting = pc.is_valid(rows.column("term"))
+    of_docs, of_terms = rows.filter(pc.invert(posting)), rows.filter(posting)
+    of_docs = of_docs.take(pa.array(np.argsort(of_docs.column("first").to_numpy(), kind="stable")))
     known = of_terms.column("term").to_numpy().view(np.uint64)
     by = np.argsort(known)
-    data, n = of_terms.column("positions").to_pylist(), of_terms.column("n").to_pylist()
-    return of_docs, of_docs.column("first").to_numpy(), of_docs.column("n_words").to_numpy(), known[by], [_unpack(data[k], n[k]) for k in by]
-
-
-def _of_blocks(index: DataFrame):
-    """The documents and the postings of each block."""
-    docs, postings = index.where("term is null"), index.where("term is not null")
-    return docs.select("block", "id", "first", "n_words").groupBy("block").cogroup(postings.select("block", "term", "n", "positions").groupBy("block"))
-
-
-def _indexed(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, width: int) -> tuple[DataFrame, list]:
-    """The positional index of the test terms, and the test windows in broadcast pieces."""
-    spark = docs.sparkSession
-    windows = materialise(
-        item_windows(items, item_col, item_text_col, width).groupBy("terms").agg(F.sort_array(F.collect_set("item")).alias("items")),
-        "test-windows",
-    )
-    n_pieces = max(1, -(-windows.count() // PIECE))
-    numbered = windows.withColumn("piece", F.pmod(F.xxhash64("terms"), F.lit(n_pieces)))
-    vocabulary = []
-    for k in range(n_pieces):
-        terms = [np.frombuffer(r.terms, np.uint64) for r in numbered.where(F.col("piece") == k).select("terms").toLocalIterator()]
-        if terms:
-            vocabulary.append(spark.sparkContext.broadcast(np.unique(np.concatenate(terms))))
-    index = build_index(docs, id_col, text_col, vocabulary)
-    postings = index.where("term is not null")
-    frequency = dict(postings.groupBy("term").agg(F.sum("n")).collect()) if vocabulary else {}
-    frequency = {int(np.uint64(np.int64(t).view(np.uint64))): n for t, n in frequency.items()}
-    pieces = []
-    for k in range(n_pieces):
-        rows = [(bytes(r.terms), list(r["items"])) for r in numbered.where(F.col("piece") == k).toLocalIterator()]
-        rows.sort()
-        if rows:
-            pieces.append(spark.sparkContext.broadcast(Phrases([x for x, _ in rows], [y for _, y in rows], frequency, width)))
-
-    return index, pieces
+    data = of_terms.column("positions").to_pylist()
+    return of_docs, of_docs.column("first").to_numpy(), of_docs.column("n_words").to_numpy(), known[by], [np.cumsum(np.frombuffer(data[k], "<i4")) for k in by]
 
 
 def contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):
     """The rule: some hit, and a twentieth of the words or more."""
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
-
-
-def digest(names: list[str]) -> str:
-    """The digest that the query derives from the item names, for tests."""
-    return hashlib.sha256(",".join(names).encode()).hexdigest()
