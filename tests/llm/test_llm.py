@@ -164,13 +164,42 @@ def test_toxicity_learns_and_tolerates_gaps(spark):
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
-def test_language_model_is_a_distribution(spark, docs, none):
-    model = context_mixing.fit(docs)
-    bits = model.mixer.bits([bytes([c]) for c in range(256) if c != 0x20])
-    assert 2.0 ** -bits.min() < 1 and (2.0**-bits).sum() < 1
-    got = {r.id: r for r in context_mixing.score(docs, model).collect()}
-    assert got[0].n_tokens == 1 and got[8].n_tokens == 5001 and got[8].score < 0
+def test_language_model_against_brute_force(spark, docs, none):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdeé,1") for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+    rows = [(k, " ".join(rng.choice(words[: 20 + k // 4]).upper() for _ in range(rng.randrange(40)))) for k in range(150)]
+    rows += [(150, None), (151, ""), (152, " \t"), (None, "a b"), (3, "x y z"), (153, "long " * 40_000), (154, "q" * 200_000), (155, "never seen before")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, key int")
+    train = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True)) & (F.coalesce(F.col("doc_id"), F.lit(0)) < 155)
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [""]
+    counts = Counter()
+    for i, t in rows:
+        if i is None or i % 3 != 0 and i < 155:
+            counts.update(split(t))
+    n, v = sum(counts.values()), len(counts)
+    model = context_mixing.fit(docs.where(train))
+    assert (model.train_tokens, model.vocabulary) == (n, v)
+    got = context_mixing.score(docs, model, learned=train).collect()
+    want = [(str(i), len(w := split(t)), sum(counts[x] > 0 for x in w), round(sum(np.log10((counts[x] + 1) / (n + v + 1)) for x in w), 4)) for i, t in rows]
+    assert sorted((str(r.id), r.n_tokens, r.n_known, round(r.base_score, 4)) for r in got) == sorted(want)
+    assert all(r.score < 0 and r.bits_per_byte > 0 for r in got)
     assert context_mixing.score(none, model).count() == 0
+    assert all(r.score < 0 for r in context_mixing.score(docs, context_mixing.fit(none)).collect())
+
+
+def test_language_model_is_a_distribution(spark):
+    rng = random.Random(13)
+    rows = [(k, " ".join(rng.choice(["the", "of", "cat", "dogs", "x%d" % rng.randrange(40)]) for _ in range(30))) for k in range(100)]
+    model = context_mixing.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert np.allclose((2.0 ** -model.cost.astype(float)).sum(axis=1), 1, atol=1e-3) and (2.0**-model.kind_bits).sum() <= 1 + 1e-9
+    # every one-byte word spelt by the model as it stands: their probabilities, with the space after them, leave room for longer ones
+    for mixer in (context_mixing._spelling_mixer(),):
+        alone = [2.0 ** -context_mixing.spell(mixer, model.table, [bytes([c])], np.zeros(1))[0] for c in range(256) if c != 0x20]
+        assert 0 < sum(alone) < 1
+    # one decision: foretold or not
+    mixer = context_mixing._pair_mixer()
+    x, gate = np.array([[0.3, -2.0, 0.5, 0.3]] * 2), np.array([7, 7])
+    assert np.isclose((2.0 ** -mixer.price(np.array([0, 1]), x, gate, None)).sum(), 1)
 
 
 def test_chat_round_trip(spark):
