@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -49,21 +50,38 @@ BOILERPLATE_WORDS = re.compile(
     r"|search|comments?|disqus|reply|replies|respond|pagination|pager|toolbar|copyright|legal|hidden|contentinfo|complementary)(?:$|[^a-z])"
 )
 CONTENT_WORDS = re.compile(r"(?:^|[^a-z])(?:article|main|content|post|entry|story|body)(?:$|[^a-z])")
-WEIGHT = {"content": 5.0, "boilerplate": -7.0, "plain": -1.0, "per_100_chars": 1.0, "most_chars": 3.0, "paragraph": 1.0, "links": -3.0, "links_in_content": -1.0}
-SAME_PARENT, NEAR, FAR = 0.6, 0.3, 0.05
+PROMOTION = re.compile(
+    r"(?i)\b(?:advertisement|sponsored|promoted|buy now|shop now|order now|click here|subscribe|sign up|limited offer|special offer|free shipping|cookies"
+    r"|all rights reserved|privacy policy|terms of (?:use|service))\b"
+)
+WEIGHT = {
+    "content": 3.5,
+    "boilerplate": -4.5,
+    "plain": -1.0,
+    "per_100_chars": 1.0,
+    "most_chars": 3.0,
+    "paragraph": 1.0,
+    "sentence": 0.5,
+    "links": -3.0,
+    "links_in_content": -1.0,
+    "promotion": -2.5,
+    "promotion_in_content": -0.5,
+}
+SAME_PARENT, NEAR, FAR = 1.25, 0.3, 0.05
 SCALE = 1000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|</[^>]*>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 class Block:
-    """A piece of text of one block element."""
+    """A piece of text of one block element; ``parent`` is the element's number and ``above`` those of its next two ancestors."""
 
-    __slots__ = ("linked", "parent", "path", "role", "tag", "text")
+    __slots__ = ("above", "linked", "parent", "role", "tag", "text")
 
-    def __init__(self, text: str, linked: int, parent: int, path: tuple[int, ...], role: int, tag: str):
-        self.text, self.linked, self.parent, self.path, self.role, self.tag = text, linked, parent, path, role, tag
+    def __init__(self, text: str, linked: int, parent: int, above: tuple[int, ...], role: int, tag: str):
+        self.text, self.linked, self.parent, self.above, self.role, self.tag = text, linked, parent, above, role, tag
 
 
 def _role(tag: str, attributes: str, inherited: int) -> int:
@@ -92,26 +110,38 @@ def _role(tag: str, attributes: str, inherited: int) -> int:
 
 
 def blocks(html: str) -> list[Block]:
-    """The text blocks of a page in page order; markup that is broken or left open is tolerated."""
+    """The text blocks of a page in page order, in time proportional to its length.
+
+    Markup that is broken or left open is tolerated: where a quote is never
+    closed, this and all later tags end at their next ``>``; ``<`` without any
+    ``>`` after it is text.
+    """
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]
     count, links, run, linked = 1, 0, [], 0
+    open_now: Counter = Counter()
+    endless, quotes = set(), True
 
     def flush() -> None:
         nonlocal run, linked
         text = " ".join(unescape("".join(run)).split()) if run else ""
         if text:
             tag, number, role = stack[-1]
-            out.append(Block(text, linked, number, tuple(x[1] for x in stack), role, tag))
+            out.append(Block(text, linked, number, tuple(x[1] for x in stack[-3:-1][::-1]), role, tag))
         run, linked = [], 0
 
+    def cut(k: int) -> None:
+        open_now.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
     def close(names: set[str] | frozenset[str], until: set[str]) -> None:
+        if not any(open_now[x] for x in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in until:
                 return
             if stack[k][0] in names:
-                del stack[k:]
-                return
+                return cut(k)
 
     def say(text: str) -> None:
         nonlocal linked
@@ -120,25 +150,46 @@ def blocks(html: str) -> list[Block]:
             if links:
                 linked += len(text)
 
-    position, n = 0, len(html)
+    position, n, last = 0, len(html), html.rfind(">")
     while position < n:
-        m = _TOKEN.search(html, position)
-        if m is None:
+        at = html.find("<", position)
+        if at < 0 or at > last and html.find("<!--", at) < 0:
             say(html[position:])
             break
-        say(html[position : m.start()])
-        position = m.end()
-        name = m[2]
-        if name is None:
+        say(html[position:at])
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            position = n if end < 0 else end + 3
             continue
-        tag, ending = name.lower(), bool(m[1])
-        if tag in SKIPPED and not ending:
-            if tag == "head":
-                # ends with its tag or where a body begins
-                end = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(html, position)
+        m = _NAME.match(html, at)
+        if m is None:
+            if html[at + 1 : at + 2] in ("!", "?", "/") and at < last:
+                position = html.find(">", at) + 1
             else:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, position)
-            if not m[3].endswith("/") or tag not in ("svg", "math"):
+                say("<")
+                position = at + 1
+            continue
+        rest = _REST.match(html, m.end()) if quotes else None
+        if rest is None:
+            quotes = False
+            position = html.find(">", m.end()) + 1
+            if not position:
+                say("<")
+                position = at + 1
+                continue
+        else:
+            position = rest.end()
+        attributes = html[m.end() : position - 1]
+        tag, ending = m[1].lower(), html[at + 1] == "/"
+        if tag in SKIPPED and not ending:
+            end = None
+            if tag not in endless:
+                # a head ends with its tag or where a body begins
+                pattern = r"</head\s*>|(?=<body[\s>])" if tag == "head" else rf"</{re.escape(tag)}\s*>"
+                end = re.compile(pattern, re.I).search(html, position)
+                if end is None:
+                    endless.add(tag)
+            if not attributes.endswith("/") or tag not in ("svg", "math"):
                 position = end.end() if end else (n if tag in ("script", "style", "textarea", "title") else position)
             continue
         if tag == "a":
@@ -151,49 +202,54 @@ def blocks(html: str) -> list[Block]:
         flush()
         links = 0
         if ending:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if open_now[tag] > 0:
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
         if tag in CLOSES_P:
             close({"p"}, {"td", "th", "li", "blockquote", "div", "article", "section", "main", "aside", "table"})
         if tag in CLOSES:
             close(*CLOSES[tag])
-        if tag not in VOID and not (m[3].endswith("/") and tag not in CLOSES_P):
-            stack.append((tag, count, _role(tag, m[3], stack[-1][2])))
+        if tag not in VOID and not (attributes.endswith("/") and tag not in CLOSES_P):
+            stack.append((tag, count, _role(tag, attributes, stack[-1][2])))
+            open_now[tag] += 1
             count += 1
     flush()
     return out
 
 
 def costs(b: Block) -> tuple[int, int]:
-    """Capacities of a block's edges from the source and to the sink."""
-    density = b.linked / max(1, len(b.text))
+    """Capacities of a block's edges from the source and to the sink.
+
+    The log odds add up what the element, its class names, the block's length,
+    links and words say; each alone may be wrong, and the cut weighs it against
+    the block's neighbours.
+    """
+    density, promoted = b.linked / max(1, len(b.text)), min(2, len(PROMOTION.findall(b.text)))
+    length = min(WEIGHT["most_chars"], WEIGHT["per_100_chars"] * len(b.text) / 100)
     if b.role > 0:
-        z = WEIGHT["content"] + WEIGHT["links_in_content"] * density
+        z = WEIGHT["content"] + WEIGHT["links_in_content"] * density + WEIGHT["promotion_in_content"] * promoted
     elif b.role < 0:
-        z = WEIGHT["boilerplate"]
+        z = WEIGHT["boilerplate"] + length / 3 + WEIGHT["links"] * density
     else:
-        z = WEIGHT["plain"] + min(WEIGHT["most_chars"], WEIGHT["per_100_chars"] * len(b.text) / 100)
-        z += WEIGHT["paragraph"] * (b.tag in ("p", "blockquote", "pre")) + WEIGHT["links"] * density
+        z = WEIGHT["plain"] + length + WEIGHT["links"] * density + WEIGHT["promotion"] * promoted
+        z += WEIGHT["paragraph"] * (b.tag in ("p", "blockquote", "pre")) + WEIGHT["sentence"] * (b.text[-1:] in ".!?")
     soft = math.log1p(math.exp(-abs(z)))
     return int(SCALE * (max(z, 0) + soft)), int(SCALE * (max(-z, 0) + soft))
 
 
+def _close_by(a: Block, b: Block) -> bool:
+    """Are the elements of two blocks at most two steps apart in the tree."""
+    over_a, over_b = (a.parent, *a.above), (b.parent, *b.above)
+    return any(x == y for i, x in enumerate(over_a) for j, y in enumerate(over_b) if i + j <= 2)
+
+
 def _neighbours(bs: list[Block]) -> list[tuple[int, int, int]]:
-    """Smoothness edges (i, j, capacity)."""
+    """Smoothness edges (i, j, capacity), at most two for each block."""
     edges, last = [], {}
     for j, b in enumerate(bs):
         i = last.get(b.parent)
         if j and i != j - 1:
-            a, shared = bs[j - 1], 0
-            for x, y in zip(a.path, b.path):
-                if x != y:
-                    break
-                shared += 1
-            apart = len(a.path) + len(b.path) - 2 * shared
-            edges.append((j - 1, j, int(SCALE * (NEAR if apart <= 2 else FAR))))
+            edges.append((j - 1, j, int(SCALE * (NEAR if _close_by(bs[j - 1], b) else FAR))))
         if i is not None:
             edges.append((i, j, int(SCALE * SAME_PARENT)))
         last[b.parent] = j
@@ -203,8 +259,9 @@ def _neighbours(bs: list[Block]) -> list[tuple[int, int, int]]:
 def minimum_cut(terminals: list[tuple[int, int]], edges: list[tuple[int, int, int]]) -> list[bool]:
     """Which nodes are on the source side of a minimum cut.
 
-    Shortest augmenting paths; a node's two terminal edges are first filled
-    against each other.  Nodes that both sides could have go to the sink.
+    Maximum flow in rounds of shortest augmenting paths, many paths a round; a
+    node's two terminal edges are first filled against each other.  Nodes that
+    both sides could have go to the sink.
     """
     n = len(terminals)
     rest = [s - t for s, t in terminals]
@@ -213,29 +270,38 @@ def minimum_cut(terminals: list[tuple[int, int]], edges: list[tuple[int, int, in
         near[i][j] = near[i].get(j, 0) + c
         near[j][i] = near[j].get(i, 0) + c
     while True:
-        before = {i: -1 for i in range(n) if rest[i] > 0}
-        queue, found = list(before), -1
+        level = {i: 0 for i in range(n) if rest[i] > 0}
+        queue, reached = list(level), False
         for i in queue:
             for j, c in near[i].items():
-                if c > 0 and j not in before:
-                    before[j] = i
-                    if rest[j] < 0:
-                        found = j
-                        break
+                if c > 0 and j not in level:
+                    level[j] = level[i] + 1
+                    reached = reached or rest[j] < 0
                     queue.append(j)
-            if found >= 0:
-                break
-        if found < 0:
-            return [i in before for i in range(n)]
-        path = [found]
-        while before[path[-1]] >= 0:
-            path.append(before[path[-1]])
-        flow = min(rest[path[-1]], -rest[found], *(near[b][a] for a, b in zip(path, path[1:])))
-        rest[path[-1]] -= flow
-        rest[found] += flow
-        for a, b in zip(path, path[1:]):
-            near[b][a] -= flow
-            near[a][b] += flow
+        if not reached:
+            return [i in level for i in range(n)]
+        left = {i: list(near[i]) for i in level}
+        for source in [i for i in level if level[i] == 0]:
+            path = [source]
+            while rest[source] > 0 and path:
+                i = path[-1]
+                if rest[i] < 0:
+                    flow = min(rest[source], -rest[i], *(near[a][b] for a, b in zip(path, path[1:])))
+                    rest[source] -= flow
+                    rest[i] += flow
+                    for a, b in zip(path, path[1:]):
+                        near[a][b] -= flow
+                        near[b][a] += flow
+                    path = [source]
+                    continue
+                while left[i] and not (near[i][left[i][-1]] > 0 and level.get(left[i][-1], -1) == level[i] + 1):
+                    left[i].pop()
+                if left[i]:
+                    path.append(left[i][-1])
+                else:
+                    path.pop()
+                    if path:
+                        left[path[-1]].pop()
 
 
 def main_text(html: str) -> str:
@@ -246,7 +312,12 @@ def main_text(html: str) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """``(id, *keep, text)`` per page; null and empty pages have an empty text, repeated rows each keep a row."""
+    """``(id, *keep, text)`` per page.
+
+    Null and empty pages have an empty text, repeated rows each keep a row, an
+    empty table gives an empty one; markup that is long, unclosed or deeply
+    nested takes time in proportion to its length, as ``blocks`` says.
+    """
     source = pages.select(F.col(id_col).alias("id"), *keep, F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

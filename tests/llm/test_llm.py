@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 from grainlake.llm import chat, context_mixing, quality, token_files, toxicity, warc
 from grainlake.llm.bpe import decode_texts, encode_texts, encoder, read_ranks
 from grainlake.llm.decontaminate import contamination
-from grainlake.llm.html_extract import main_text, minimum_cut
+from grainlake.llm.html_extract import blocks, costs, extract, main_text, minimum_cut
 from grainlake.llm.simhash import fingerprint_links, near_duplicates
 from grainlake.operators.graph import connected_components
 
@@ -266,3 +267,30 @@ def test_html():
     page = "<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>A &amp; B</h1><p><b>One <i>two</i><br><p>Three&nbsp;four</p><aside>Ad</aside></article><div id=comments><p>No!</p></div><footer>(c)</footer>"
     assert main_text(page) == "A & B\nOne two\nThree four"
     assert [main_text(x) for x in ("", "<", "<script>x", "<nav>a</nav>")] == [""] * 4
+
+
+def test_cut_repairs_misjudged_blocks():
+    long = "Some words of a story that goes on for quite a while, and says this and that. " * 3
+    page = f"<body><div><h1>Title here</h1><p>{long}</p><p>Short one</p><p>{long}</p></div><div>Sponsored: buy now, {long * 3}</div>"
+    bs = blocks(page)
+    alone = [s > t for s, t in map(costs, bs)]
+    assert alone == [False, True, True, True, False]
+    assert main_text(page).split("\n") == ["Title here", long.strip(), "Short one", long.strip()]
+    # a stray heading with nothing beside it stays out
+    assert main_text("<div><h2>Menu</h2></div><div><a href=x>Home</a></div>") == ""
+
+
+def test_long_and_broken_markup_takes_little_time():
+    began = time.monotonic()
+    for hard in ("<a " * 350_000, "<a '\"" * 200_000, "<svg>" * 100_000, "<div>x" * 20_000, "<ul>" + "<li>a" * 20_000, "<x>" * 20_000 + "<p>a" * 20_000, "<p>" + "<b " * 100_000 + ">"):
+        main_text(hard)
+    alternating = "".join(f"<p>{'x' * (200 if i % 2 else 5)}</p>" for i in range(20_000))
+    assert main_text(alternating).count("\n") == 19_999
+    assert time.monotonic() - began < 60
+
+
+def test_extract_of_hard_rows(spark):
+    rows = [(1, "u", None, "a"), (1, None, "", "b"), (None, "u", "<p>" + "Long text. " * 20_000, "c"), (2, "u", "<article><p>Kept &lt;b&gt;</article>", "d")]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, id string")).collect()
+    assert sorted((str(r.id), len(r.text)) for r in got) == [("1", 0), ("1", 0), ("2", 8), ("None", 219_999)]
+    assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
