@@ -247,12 +247,14 @@ def _neighbours(bs: list[Block]) -> list[tuple[int, int, int]]:
     """Smoothness edges (i, j, capacity), at most two for each block."""
     edges, last = [], {}
     for j, b in enumerate(bs):
-        i = last.get(b.parent)
+        # the element of the text and the one around it
+        around = (b.parent, *b.above[:1])
+        i = max(last.get(x, -1) for x in around)
         if j and i != j - 1:
             edges.append((j - 1, j, int(SCALE * (NEAR if _close_by(bs[j - 1], b) else FAR))))
-        if i is not None:
+        if i >= 0:
             edges.append((i, j, int(SCALE * SAME_PARENT)))
-        last[b.parent] = j
+        last.update(dict.fromkeys(around, j))
     return edges
 
 
