@@ -19,7 +19,7 @@ from ..storage import fresh_path, materialise, shared_dir
 __all__ = ["ALNUM", "SPACED", "Words", "chunks", "fresh_path", "keep_rows", "materialise", "mix64", "power_tables", "read_table", "shared_dir", "text_bytes"]
 
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Base of the polynomial word hash (odd, so that it has an inverse modulo 2**64).
 HASH_BASE = 0x9E3779B97F4A7C15
 
