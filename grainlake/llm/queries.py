@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, context_mixing, quality, token_files, toxicity, warc
+from . import chat, context_mixing, quality, ranked_search, token_files, toxicity, url_filters, vector_codes, warc
 from .bpe import token_digests
 from .common import fresh_path, read_table
 from .decontaminate import contaminated, contamination
@@ -163,9 +163,88 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(read_table(spark, sf_dir, "documents"))
+    found = ranked_search.search(index, read_table(spark, sf_dir, "benchmark"), 10)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+len AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+tot AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM len),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), tot),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN len USING (doc_id), tot GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+#: The rules of the query: those by host and path, and the library's patterns.
+URL_RULES = [
+    *(url_filters.place_rule(host, path, allow) for host, path, allow in (("org", "/", True), ("example.org", "/es/", False), ("example.org", "/en/1", False), ("com", "/fr/", True), ("com", "/de/", False))),
+    *(url_filters.pattern_rule(p) for p in url_filters.PATTERNS),
+]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(read_table(spark, sf_dir, "pages"), URL_RULES).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "pattern")
+
+
+def url_sql(rules: list[url_filters.Rule]) -> str:
+    """All rules on all urls, without an index: the highest rank of those that match."""
+    rows = ", ".join("({rank}, '{text}', {allow}, {place}, '{regex}')".format(**{k: str(v).replace("'", "''") for k, v in r.items()}) for r in url_filters.build_index(rules, {}))
+    return rf"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{url_filters.UPPER}', '{url_filters.LOWER}'), '') AS host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(rank, text, allow, place, regex) AS (VALUES {rows}),
+distinct_urls AS (SELECT DISTINCT url, host, path FROM u),
+hit AS (SELECT url, max_by(r, r.rank) AS best FROM distinct_urls, r WHERE regexp_matches(CASE WHEN place THEN host || path ELSE translate(url, '{url_filters.UPPER}', '{url_filters.LOWER}') END, regex) GROUP BY url)
+SELECT page_id, host, path, CASE WHEN best.place THEN best.text END AS rule, CASE WHEN coalesce(best.allow, TRUE) THEN 'allow' ELSE 'block' END AS verdict,
+  CASE WHEN NOT best.place THEN best.text END AS pattern FROM u LEFT JOIN hit USING (url)
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    books = vector_codes.fit(vectors)
+    if books is None:
+        return vectors.where("false").select("vec_id", F.lit("").alias("code"), F.lit(0).cast("long").alias("error"), F.lit(0).cast("long").alias("label_error"), F.lit("").alias("codebooks_sha256"))
+    coded = vector_codes.with_label_error(vector_codes.encode(vectors, books))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def codes_sql(rounds: int = 4, size: int = 256) -> str:
+    """Every part against every entry, round by round."""
+    assign = """a{k} AS MATERIALIZED (SELECT p, vec_id, arg_min(i, d * 256 + i) AS i, min(d) AS d FROM
+  (SELECT x.p, x.vec_id, c.i, CAST(list_sum(list_transform(list_zip(x.a, c.a), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM parts x JOIN c{k} c USING (p)) GROUP BY p, vec_id)"""
+    update = """c{n} AS MATERIALIZED (SELECT c.p, c.i, coalesce(u.a, c.a) AS a FROM c{k} c LEFT JOIN (SELECT p, i, list(CAST(floor(s / n) AS BIGINT) ORDER BY e) AS a FROM
+  (SELECT p, i, e, CAST(sum(v) AS DOUBLE) AS s, count(*) AS n FROM (SELECT x.p, a.i, unnest(range(16)) AS e, unnest(x.a) AS v FROM parts x JOIN a{k} a USING (p, vec_id)) GROUP BY p, i, e) GROUP BY p, i) u USING (p, i))"""
+    steps = ",\n".join(s for k in range(rounds) for s in (assign.format(k=k), update.format(k=k, n=k + 1)))
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p, v[16 * p + 1 : 16 * p + 16] AS a FROM kept, (SELECT unnest(range(4)) AS p)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS i, a FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {size})),
+{steps},
+{assign.format(k=rounds)},
+e AS (SELECT vec_id, string_agg(printf('%02x', CAST(i AS INT)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, i, e)) AS codebooks_sha256 FROM (SELECT p, i, unnest(range(16)) AS e, unnest(a) AS v FROM c{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN kept USING (vec_id), h
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_simhash_near_dedup, op3_chat_formatting, op4_html_extraction, op5_quality_rules, op6_toxicity, op7_warc_revisits, op8_byte_bpe, op9_token_files, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_simhash_near_dedup, op3_chat_formatting, op4_html_extraction, op5_quality_rules, op6_toxicity, op7_warc_revisits, op8_byte_bpe, op9_token_files, op10_benchmark_decontamination, op11_ranked_search, op12_url_filters, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": OP3_SQL, "op7_warc_revisits": OP7_SQL}
+    return {
+        "op3_chat_formatting": OP3_SQL,
+        "op7_warc_revisits": OP7_SQL,
+        "op11_ranked_search": OP11_SQL,
+        "op12_url_filters": url_sql(URL_RULES),
+        "op13_vector_codes": codes_sql(),
+    }
