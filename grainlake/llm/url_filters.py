@@ -146,6 +146,8 @@ def tokens_of(url: Column) -> Column:
 def token_counts(urls: DataFrame, rules: Sequence[Rule], url_col: str = "url") -> dict[str, int]:
     """How many rows of ``urls`` hold each of the rules' tokens: at most one number for each of them."""
     known = urls.sparkSession.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
+    # written, so that its size is known when the join is planned: a few tokens are broadcast and no url's tokens move
+    known = materialise(known, "url-tokens")
     held = urls.select(F.explode(tokens_of(F.col(url_col))).alias("token")).join(known, "token", "left_semi")
     return {r.token: r.n for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
