@@ -1,8 +1,9 @@
 r"""Chat formatting: layouts recognised by a schema fingerprint, one reversible template.
 
-A record's nested field paths, sorted and hashed, are its fingerprint; it
-selects a declarative mapping from the record's layout to canonical turns
-``(record, turn, role, text)``.  All of it is DataFrame expressions.
+The nested field paths of a layout, sorted and hashed, are its fingerprint; that
+of the most specific layout whose paths a record has selects a declarative
+mapping from the record's layout to canonical turns ``(record, turn, role,
+text)``.  All of it is DataFrame expressions.
 
 The template writes a turn as ``### role: text</turn>`` and a newline.  Inside
 texts and roles a backslash becomes ``\b``, ``###`` becomes ``\h`` and
@@ -71,17 +72,32 @@ def fingerprint(paths) -> Column:
     return F.xxhash64(F.lit("\n".join(sorted(paths))))
 
 
-def _known_paths(layouts) -> list[str]:
-    return sorted({p for x in layouts for p in x.paths})
+def by_specificity(layouts) -> list[Layout]:
+    """The layouts with the most paths first, equal ones in their declared order."""
+    return sorted(layouts, key=lambda x: -len(x.paths))
 
 
-def json_fingerprint(record: Column, layouts=LAYOUTS) -> Column:
-    """The hash of those nested field paths of a parsed JSON record that some layout knows.
+def _has_path(record: Column, json: Column, path: str) -> Column:
+    """Whether a JSON record has a field; a field in a list counts if any element of the list has it."""
+    here = F.variant_get(record, "$." + path.replace("[]", "[0]"), "variant").isNotNull()
+    field, in_list, sub = path.partition("[].")
+    if not in_list:
+        return here
+    items = F.from_json(json, f"struct<`{field}`:array<map<string,string>>>")[field]
+    return here | F.coalesce(F.exists(items, lambda x: F.coalesce(F.map_contains_key(x, F.lit(sub)), F.lit(False))), F.lit(False))
 
-    A field in a list counts if the list's first element has it.
+
+def json_fingerprint(json: Column, layouts=LAYOUTS) -> Column:
+    """The fingerprint of the most specific layout whose field paths a JSON record has, ties by declared order; null without one.
+
+    Further fields, those of other layouts too, are no hindrance.
     """
-    have = [F.when(F.variant_get(record, "$." + p.replace("[]", "[0]"), "variant").isNotNull(), F.lit(p)) for p in _known_paths(layouts)]
-    return F.xxhash64(F.array_join(F.array_compact(F.array(*have)), "\n"))
+    record = F.try_parse_json(json)
+    layouts = [x for x in layouts if not x.rows]
+    paths = sorted({p for x in layouts for p in x.paths})
+    have = F.array_compact(F.array(*(F.when(_has_path(record, json, p), F.lit(p)) for p in paths)))
+    marks = [F.when(F.size(F.array_except(F.array(*map(F.lit, x.paths)), have)) == 0, fingerprint(x.paths)) for x in by_specificity(layouts)]
+    return F.coalesce(*marks)
 
 
 def schema_paths(schema: T.StructType) -> list[str]:
@@ -98,16 +114,15 @@ def schema_paths(schema: T.StructType) -> list[str]:
 def turns_of_rows(df: DataFrame, layouts=LAYOUTS) -> DataFrame:
     """Canonical turns of a table of turns, by the mapping that the fingerprint of its field paths selects.
 
-    Columns that no layout knows are ignored.  Every mapping whose columns the
-    table has is declared; the fingerprint decides which of them holds.  A
-    table without such columns is an error; one whose fingerprint selects none
-    of them gives rows of nulls.
+    Of the layouts whose field paths the table has, the most specific one gives
+    the fingerprint, ties by declared order; further columns, those of other
+    layouts too, are ignored.  A table that has no layout's paths is an error.
     """
     have = set(schema_paths(df.schema))
-    mark = fingerprint(have & set(_known_paths(layouts)))
-    possible = [x for x in layouts if x.rows and have >= set(x.paths)]
+    possible = [x for x in by_specificity(layouts) if x.rows and have >= set(x.paths)]
     if not possible:
         raise ValueError(f"no layout has these field paths: {sorted(have)}")
+    mark = fingerprint(possible[0].paths)
     names = ("record", "turn", "role", "text")
     return df.select(*(F.coalesce(*(F.when(mark == fingerprint(x.paths), F.col(x.rows[k])) for x in possible)).alias(n) for k, n in enumerate(names)))
 
@@ -119,12 +134,12 @@ def _turns(items: Column, role: str, text: str) -> Column:
 def turns_of_json(df: DataFrame, record: str, json: str, layouts=LAYOUTS) -> DataFrame:
     """Canonical turns of JSON records, each by the mapping that its own fingerprint selects.
 
-    Null field values are empty texts; fields that no layout knows are ignored.
+    Null field values are empty texts; fields beyond those of the layout are ignored.
     A record that is null, no JSON, too large for a variant or of no known
     layout keeps one row with a null turn, role and text.
     """
     turn = "struct<role:string,text:string>"
-    source = df.select(F.col(record).alias("record"), F.col(json).alias("json")).withColumn("mark", json_fingerprint(F.try_parse_json("json"), layouts))
+    source = df.select(F.col(record).alias("record"), F.col(json).alias("json")).withColumn("mark", json_fingerprint(F.col("json"), layouts))
     made = F.lit(None).cast(f"array<{turn}>")
     for layout in layouts:
         if layout.turns:
