@@ -11,7 +11,9 @@ from .functions import scalars as S
 from .operators import grid, overlap, particles, resample
 from .operators.grid import AXES
 from .plans import segment, zoom
+from .sources import nifti
 from .sources import tables as T
+from .storage import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -515,6 +517,37 @@ def dataset_manifest(spark, d):
     return doc.groupBy("source").agg(F.count("*").alias("n"), listed.alias("training"))
 
 
+# --- files ---
+
+CASES = """cases AS (SELECT 'case_' || CAST(vec_id % 5 AS VARCHAR) AS volume_id, CAST((vec_id // 5) * 4 + d // 16 AS INT) AS z, CAST((d // 4) % 4 AS INT) AS y, CAST(d % 4 AS INT) AS x,
+  CAST(embedding[d + 1] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(64)) AS d))"""
+
+
+def _cases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    voxels = T.cases_of_embeddings(T.read(spark, d, "embeddings"))
+    return voxels, T.sizes_of_cases(voxels)
+
+
+@query(f"WITH {CASES} SELECT volume_id, z, y, x, v FROM cases")
+def nifti_scan(spark, d):
+    """Volumes written as big-endian files of 16 slices each, and read back."""
+    path = fresh_path(spark, "nifti-scan")
+    nifti.save_nifti(nifti.to_lines(*_cases(spark, d)), path, slab=16, compression="none", big_endian=True)
+    return nifti.load_nifti(spark, path)
+
+
+@query(f"""WITH {CASES}, n AS (SELECT volume_id, CAST(max(z) + 1 AS INT) AS n_z, count(*) AS voxels, sum(CAST(round_even(v * 20, 0) AS BIGINT) * (z % 7 + 1)) AS total FROM cases GROUP BY volume_id)
+SELECT volume_id, 'int16' AS datatype, n_z, 4 AS n_y, 4 AS n_x, CAST(0.25 AS DOUBLE) AS spacing_z, CAST(0.5 AS DOUBLE) AS spacing_y, CAST(0.125 AS DOUBLE) AS spacing_x, voxels, CAST(total AS BIGINT) AS total FROM n""")
+def nifti_labels(spark, d):
+    """Segmentations: rounded, gzipped int16 files; their headers beside what their voxels sum up to."""
+    path = fresh_path(spark, "nifti-labels")
+    voxels, sizes = _cases(spark, d)
+    nifti.save_nifti(nifti.to_lines(voxels.withColumn("v", F.col("v") * 20), sizes), path, is_seg=True)
+    sums = nifti.load_nifti(spark, path, is_seg=True).groupBy("volume_id").agg(F.count("*").alias("voxels"), F.sum(F.col("v").cast("long") * (F.col("z") % 7 + 1)).alias("total"))
+    heads = nifti.load_headers(spark, path).select("volume_id", "datatype", "n_z", "n_y", "n_x", "spacing_z", "spacing_y", "spacing_x")
+    return heads.join(sums, "volume_id")
+
+
 # --- the whole way ---
 
 

@@ -51,3 +51,22 @@ def sizes_of_parts(part: DataFrame, patch: int = 16, stride: int = 8) -> DataFra
 def meta_of_parts(part: DataFrame) -> DataFrame:
     """``(volume_id, spacing, particle_size)`` in millimetres."""
     return part.select(F.col("p_partkey").alias("volume_id"), (F.col("p_size") / 1000.0).alias("spacing"), (F.col("p_retailprice") / 1000.0).alias("particle_size"))
+
+
+def cases_of_embeddings(embeddings: DataFrame, cases: int = 5) -> DataFrame:
+    """``(volume_id, z, y, x, v)``: columns of 4 x 4 x 4 cubes, one volume for each remainder of the id."""
+    tile = embeddings.select("vec_id", F.posexplode("embedding").alias("d", "e"))
+    return tile.select(
+        F.concat(F.lit("case_"), (F.col("vec_id") % cases).cast("string")).alias("volume_id"),
+        (F.floor(F.col("vec_id") / cases) * 4 + F.floor(F.col("d") / 16)).cast("int").alias("z"),
+        (F.floor(F.col("d") / 4) % 4).cast("int").alias("y"),
+        (F.col("d") % 4).cast("int").alias("x"),
+        F.col("e").cast("double").alias("v"),
+    )
+
+
+def sizes_of_cases(voxels: DataFrame) -> DataFrame:
+    """A row per volume of ``cases_of_embeddings``: sizes, and a spacing of 0.25, 0.5 and 0.125 millimetres."""
+    n = voxels.groupBy("volume_id").agg((F.max("z") + 1).alias("n_z"))
+    spacing = [F.lit(s).alias(f"spacing_{a}") for a, s in zip("zyx", (0.25, 0.5, 0.125))]
+    return n.select("volume_id", "n_z", F.lit(4).alias("n_y"), F.lit(4).alias("n_x"), *spacing)
