@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import grid, overlap, particles, resample
+from .operators import distance, grid, growth, overlap, particles, resample
 from .operators.grid import AXES
 from .plans import segment, zoom
 from .sources import nifti
@@ -460,6 +460,31 @@ def instances_full(spark, d):
     return _plain(_instances(spark, d))
 
 
+_W26 = ", ".join(f"({z}, {y}, {x}, {growth.EUCLIDEAN[abs(z) + abs(y) + abs(x) - 1]})" for z, y, x in particles.NEIGHBOURS[26])
+_NUMBERED = GROWN[: GROWN.index("bfs(lin")]
+GEODESIC = f"""{_NUMBERED}
+we AS MATERIALIZED (SELECT a.lin AS a, b.lin AS b, CAST(w AS BIGINT) AS w FROM fg a, (VALUES {_W26}) o(oz, oy, ox, w), fg b WHERE b.z = a.z + oz AND b.y = a.y + oy AND b.x = a.x + ox),
+path(lin, id, dist) USING KEY (lin, id) AS (SELECT cv.lin, ids.id, CAST(0 AS BIGINT) FROM cv JOIN ids USING (core)
+  UNION SELECT we.b, path.id, min(path.dist + we.w) FROM path JOIN we ON we.a = path.lin LEFT JOIN recurring.path o ON o.lin = we.b AND o.id = path.id
+  WHERE path.dist + we.w < coalesce(o.dist, {255 * growth.UNIT}) GROUP BY we.b, path.id),
+near_id AS MATERIALIZED (SELECT lin, min(dist) AS dist FROM path GROUP BY lin),
+lab AS MATERIALIZED (SELECT lin, min(id) AS label FROM path JOIN near_id USING (lin, dist) GROUP BY lin UNION ALL SELECT comp.lin, base + 2 FROM comp JOIN num ON num.component = comp.root WHERE k = 0)"""
+
+
+@query(f"WITH RECURSIVE {CORE_COMP}, {GEODESIC} SELECT z, y, x, CAST(label AS BIGINT) AS label FROM lab JOIN fg USING (lin)")
+def geodesic_instances(spark, d):
+    """Particles grown by geodesic distance instead of steps."""
+    return _plain(particles.instances(_foreground(spark, d), _shape(spark, d), method="distance"))
+
+
+@query(f"""WITH {VOX}, inside AS MATERIALIZED (SELECT z, y, x FROM vox WHERE v > -0.15), back AS MATERIALIZED (SELECT z AS bz, y AS byy, x AS bx FROM vox WHERE v <= -0.15)
+SELECT z, y, x, CAST(min((z - bz) * (z - bz) + (y - byy) * (y - byy) + (x - bx) * (x - bx)) AS BIGINT) AS d2 FROM inside, back GROUP BY z, y, x""")
+def distance_to_background(spark, d):
+    """Squared distances over a dense mask, the whole volume against all of its background."""
+    vox = _voxels(spark, d)
+    return _plain(distance.distance_transform(vox.where("v > -0.15"), distance.shape_rows(vox, _shape(spark, d))))
+
+
 @query(f"""WITH RECURSIVE {CORE_COMP}, {GROWN}, n AS (SELECT CAST(label AS BIGINT) AS label, count(*) AS voxels FROM lab GROUP BY label)
 SELECT label, voxels FROM n WHERE voxels >= 0.9 * (SELECT sum(voxels) / max(label) FROM n)""")
 def small_particle_filter(spark, d):
@@ -478,9 +503,11 @@ def label_remap(spark, d):
 _O9 = ", ".join(f"({z}, {y}, {x})" for z, y, x in particles.offset_list(4))
 
 
-@query(f"""WITH {DIM}, {TILES}, edge AS (SELECT DISTINCT a.z, a.y, a.x, 1 AS e FROM lab a CROSS JOIN dim CROSS JOIN (VALUES {_O9}) o(oz, oy, ox) LEFT JOIN lab b ON b.z = a.z + oz AND b.y = a.y + oy AND b.x = a.x + ox
-  WHERE a.z + oz BETWEEN 0 AND nz - 1 AND a.y + oy BETWEEN 0 AND 39 AND a.x + ox BETWEEN 0 AND 39 AND (b.label IS NULL OR b.label <> a.label))
-SELECT z, y, x, label, CASE WHEN e IS NULL THEN 1 ELSE 2 END AS cls FROM lab LEFT JOIN edge USING (z, y, x)""")
+@query(f"""WITH {DIM}, {TILES}, cells AS MATERIALIZED (SELECT *, (CAST(z AS BIGINT) * 40 + y) * 40 + x AS lin FROM lab),
+around AS MATERIALIZED (SELECT lin, label, (CAST(z + oz AS BIGINT) * 40 + y + oy) * 40 + x + ox AS there FROM cells, dim, (VALUES {_O9}) o(oz, oy, ox)
+  WHERE z + oz BETWEEN 0 AND nz - 1 AND y + oy BETWEEN 0 AND 39 AND x + ox BETWEEN 0 AND 39),
+edge AS MATERIALIZED (SELECT DISTINCT a.lin FROM around a LEFT JOIN cells c ON c.lin = a.there WHERE c.label IS NULL OR c.label <> a.label)
+SELECT z, y, x, label, CASE WHEN edge.lin IS NULL THEN 1 ELSE 2 END AS cls FROM cells LEFT JOIN edge ON edge.lin = cells.lin""")
 def border_core_labels(spark, d):
     return _plain(particles.border_core(_tiles(spark, d), _shape(spark, d), 2))
 
