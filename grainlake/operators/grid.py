@@ -100,6 +100,40 @@ def extract_patches(voxels: DataFrame, patches: DataFrame, block: int = 64) -> D
     return joined.select("volume_id", "ord", *AXES, *((F.col(a) - F.col(f"{a}0")).alias(f"l{a}") for a in AXES), *carried)
 
 
+def _starts_at(a: str, mode: str) -> tuple[Column, Column]:
+    """The (index, start) of the patches along an axis that hold a position, by arithmetic, and how many starts the axis has."""
+    at, n, p, s = (F.col(c).cast("int") for c in (a, f"n_{a}", f"p_{a}", f"s_{a}"))
+    last = F.floor((n - p) / s).cast("int")
+    low, high = F.greatest(F.ceil((at - p + 1) / s), F.lit(0)).cast("int"), F.least(F.floor(at / s).cast("int"), last)
+    pair = lambda i, start: F.struct(i.cast("int").alias("i"), start.cast("int").alias("start"))
+    none = F.array().cast("array<struct<i:int,start:int>>")
+    found = F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda i: pair(i, i * s))).otherwise(none)
+    if mode == "basic":
+        return found, last + 1
+    if mode != "clamped":
+        raise ValueError(f"starts of mode {mode} are no arithmetic series")
+    odd = (n - p) % s != 0
+    return F.concat(found, F.when(odd & (at >= n - p), F.array(pair(last + 1, n - p))).otherwise(none)), last + 1 + odd.cast("int")
+
+
+def grid_patches(voxels: DataFrame, sizes: DataFrame, mode: str = "clamped") -> DataFrame:
+    """``(volume_id, ord, z0, y0, x0, z, y, x, lz, ly, lx, ...)``: the voxels of each patch of a ``basic`` or ``clamped`` grid.
+
+    A voxel finds its own patches by arithmetic on the starts, at most
+    ceil(p / s) + 1 an axis, so no voxel meets a patch that does not hold it and
+    nothing but the row of sizes is joined.  ``ord`` is that of ``patch_grid``.
+    """
+    carried = [c for c in voxels.columns if c not in ("volume_id", *AXES)]
+    df = voxels.join(sizes.select("volume_id", *(f"{k}_{a}" for a in AXES for k in "nps")), "volume_id")
+    found = {a: _starts_at(a, mode) for a in AXES}
+    df = df.select("volume_id", *AXES, *carried, *(found[a][1].alias(f"k_{a}") for a in AXES), *(found[a][0].alias(f"f_{a}") for a in AXES))
+    for a in AXES:
+        df = df.select("*", F.explode(f"f_{a}").alias(f"e_{a}")).drop(f"f_{a}")
+    order = (F.col("e_z.i").cast("long") * F.col("k_y") + F.col("e_y.i")) * F.col("k_x") + F.col("e_x.i")
+    local = [(F.col(a) - F.col(f"e_{a}.start")).alias(f"l{a}") for a in AXES]
+    return df.select("volume_id", order.alias("ord"), *(F.col(f"e_{a}.start").alias(f"{a}0") for a in AXES), *AXES, *local, *carried)
+
+
 def full_grid(shapes: DataFrame) -> DataFrame:
     """Every position of each volume: ``shapes`` has ``volume_id, n_z, n_y, n_x``."""
     df = shapes

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import distance, grid, growth, overlap, particles, resample
+from .operators import distance, grid, growth, overlap, particles, predict, resample
 from .operators.grid import AXES
 from .plans import segment, zoom
 from .sources import nifti
@@ -57,9 +58,8 @@ def _sizes(spark: SparkSession, d: str, patch: int, stride: int) -> DataFrame:
     return spark.range(1).select(*row)
 
 
-def _patches(spark: SparkSession, d: str, patch: int = 8, stride: int = 4) -> tuple[DataFrame, DataFrame]:
-    patches = grid.patch_grid(_sizes(spark, d, patch, stride))
-    return patches, grid.extract_patches(_voxels(spark, d), patches)
+def _patches(spark: SparkSession, d: str, patch: int = 8, stride: int = 4) -> DataFrame:
+    return grid.grid_patches(_voxels(spark, d), _sizes(spark, d, patch, stride))
 
 
 def _starts(axis_n: str, p: int, s: int) -> str:
@@ -215,15 +215,25 @@ def grid_pair_resized(spark, d):
 
 @query(PATCHES_SQL + "SELECT CAST(z0 AS INT) AS z0, CAST(y0 AS INT) AS y0, CAST(x0 AS INT) AS x0, count(*) AS n, round(sum(v), 6) AS total, round(max(v * (lz * 64 + ly * 8 + lx)), 6) AS top FROM pv GROUP BY ALL")
 def patch_extract(spark, d):
-    patches, pv = _patches(spark, d)
-    per = pv.groupBy("volume_id", "ord").agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("total"), F.round(F.max(F.col("v") * (F.col("lz") * 64 + F.col("ly") * 8 + F.col("lx"))), 6).alias("top"))
-    return per.join(patches, ["volume_id", "ord"]).select("z0", "y0", "x0", "n", "total", "top")
+    place = F.col("lz") * 64 + F.col("ly") * 8 + F.col("lx")
+    per = _patches(spark, d).groupBy("volume_id", "ord", "z0", "y0", "x0").agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("total"), F.round(F.max(F.col("v") * place), 6).alias("top"))
+    return per.select("z0", "y0", "x0", "n", "total", "top")
+
+
+@query(PATCHES_SQL + """, p AS (SELECT z0, y0, x0, row_number() OVER (ORDER BY z0, y0, x0) - 1 AS ord FROM (SELECT DISTINCT z0, y0, x0 FROM pv))
+SELECT CAST(ord AS BIGINT) AS ord, CAST(z0 AS INT) AS z0, CAST(y0 AS INT) AS y0, CAST(x0 AS INT) AS x0, count(*) AS n, round(sum(v), 6) AS total FROM pv JOIN p USING (z0, y0, x0) GROUP BY ALL""")
+def patch_join(spark, d):
+    """Patches as any table of boxes, met by a join of blocks."""
+    patches = grid.patch_grid(_sizes(spark, d, 8, 4))
+    pv = grid.extract_patches(_voxels(spark, d), patches, block=8)
+    per = pv.groupBy("volume_id", "ord").agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("total"))
+    return per.join(patches, ["volume_id", "ord"]).select("ord", "z0", "y0", "x0", "n", "total")
 
 
 @query(f"WITH {VOX} SELECT z, y, x, round(v, 6) AS v FROM vox")
 def overlap_mean(spark, d):
     """Patches averaged back give the volume itself."""
-    return _plain(overlap.overlap_mean(_patches(spark, d)[1]).withColumn("v", F.round("v", 6)))
+    return _plain(overlap.overlap_mean(_patches(spark, d)).withColumn("v", F.round("v", 6)))
 
 
 GAUSS = "exp(-((lz - 4) ** 2 + (ly - 4) ** 2 + (lx - 4) ** 2) / CAST(2 AS DOUBLE))"
@@ -231,7 +241,7 @@ GAUSS = "exp(-((lz - 4) ** 2 + (ly - 4) ** 2 + (lx - 4) ** 2) / CAST(2 AS DOUBLE
 
 @query(PATCHES_SQL + f"SELECT z, y, x, round(sum({GAUSS} * v * (lz + 1)) / sum({GAUSS}), 6) AS v FROM pv GROUP BY z, y, x")
 def overlap_gaussian(spark, d):
-    pv = _patches(spark, d)[1].withColumn("v", F.col("v") * (F.col("lz") + 1))
+    pv = _patches(spark, d).withColumn("v", F.col("v") * (F.col("lz") + 1))
     return _plain(overlap.overlap_mean(pv, overlap.gaussian_weight((8, 8, 8))).withColumn("v", F.round("v", 6)))
 
 
@@ -282,6 +292,31 @@ def tta_mean(spark, d):
     return t.select(*turned, "v").groupBy(*AXES).agg(F.round(F.avg("v"), 6).alias("v"))
 
 
+def stencil(fold: int):
+    """A network of two folds that looks one voxel ahead along z and x, so that flips and patch borders show; none beyond."""
+    if fold > 1:
+        return None
+    a, b, c, e = ((8.0, 4.0, 6.0, -5.0), (6.0, -3.0, 9.0, 2.0))[fold]
+
+    def network(p: np.ndarray) -> np.ndarray:
+        ahead_z, ahead_x = np.concatenate([p[:, 1:], p[:, -1:]], axis=1), np.concatenate([p[..., 1:], p[..., -1:]], axis=3)
+        return np.stack([np.zeros_like(p), a * p + b * ahead_z, c * p + e * ahead_x], axis=1)
+
+    return network
+
+
+@query(PATCHES_SQL + f""", turned AS (SELECT pv.*, z0 + CASE WHEN fz = 0 THEN least(lz + 1, 7) ELSE greatest(lz - 1, 0) END AS az, x0 + CASE WHEN fx = 0 THEN least(lx + 1, 7) ELSE greatest(lx - 1, 0) END AS ax FROM pv, (VALUES (0), (1)) f(fz), (VALUES (0), (1)) g(fx)),
+scored AS (SELECT t.z, t.y, t.x, t.lz, t.ly, t.lx, exp((a * t.v + b * m.v) / 0.125) AS e1, exp((c * t.v + e * n.v) / 0.125) AS e2
+  FROM turned t JOIN vox m ON m.z = t.az AND m.y = t.y AND m.x = t.x JOIN vox n ON n.x = t.ax AND n.y = t.y AND n.z = t.z, (VALUES (8.0::DOUBLE, 4.0::DOUBLE, 6.0::DOUBLE, -5.0::DOUBLE), (6.0, -3.0, 9.0, 2.0)) k(a, b, c, e)),
+mean AS (SELECT z, y, x, {GAUSS} AS w, 1 / (1 + e1 + e2) AS p0, e1 / (1 + e1 + e2) AS p1, e2 / (1 + e1 + e2) AS p2 FROM scored)
+SELECT z, y, x, round(sum(w * p0) / sum(w), 6) AS p0, round(sum(w * p1) / sum(w), 6) AS p1, round(sum(w * p2) / sum(w), 6) AS p2 FROM mean GROUP BY z, y, x""")
+def predict_patches(spark, d):
+    """A model of two folds over all patches, eight flips each turned back, and the Gaussian mean of what patches say of a voxel."""
+    scored = predict.predict_patches(_patches(spark, d), (8, 8, 8), predict.PatchModel("stencil", stencil), 0.0, 0.125)
+    sums = overlap.class_sums(scored, 3, weight=overlap.gaussian_weight((8, 8, 8)))
+    return sums.select(*AXES, *(F.round(F.col("sums")[c] / F.col("total"), 6).alias(f"p{c}") for c in range(3)))
+
+
 @query("""SELECT event_id, round(sum(value * (user_id % 5 + 1)) OVER w / sum(user_id % 5 + 1) OVER w, 8) AS running_mean FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def running_mean(spark, d):
@@ -318,7 +353,8 @@ def pad_crop(spark, d):
   AND ly >= CASE WHEN y0 > 0 THEN 2 ELSE 0 END AND ly < 8 - CASE WHEN y0 + 8 < 40 THEN 2 ELSE 0 END AND lx >= CASE WHEN x0 > 0 THEN 2 ELSE 0 END AND lx < 8 - CASE WHEN x0 + 8 < 40 THEN 2 ELSE 0 END)
 SELECT z, y, x, count(*) AS n, round(sum(v), 6) AS total FROM k GROUP BY z, y, x""")
 def remove_halo(spark, d):
-    patches, pv = _patches(spark, d)
+    patches = grid.patch_grid(_sizes(spark, d, 8, 4))
+    pv = _patches(spark, d).drop("z0", "y0", "x0")
     shapes = _sizes(spark, d, 8, 4).select("volume_id", "n_z", "n_y", "n_x")
     return grid.remove_halo(pv, patches, shapes, (2, 2, 2)).groupBy(*AXES).agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("total"))
 
