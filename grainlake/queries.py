@@ -15,6 +15,7 @@ from .plans import segment, zoom
 from .sources import nifti
 from .sources import tables as T
 from .storage import fresh_path
+from .streaming import chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -332,12 +333,52 @@ def chunked_argmax(spark, d):
     """Classes per chunk, margins cut off, the last chunk owning what two of them hold."""
     nz, ny, nx = _shape(spark, d)
     sizes = _sizes(spark, d, 16, 8).select("volume_id", "n_z", "n_y", "n_x", "p_z", "s_z", *(F.lit(40).alias(f"p_{a}") for a in "yx"), *(F.lit(40).alias(f"s_{a}") for a in "yx"))
-    chunks = grid.patch_grid(sizes)
-    v = grid.extract_patches(_voxels(spark, d), chunks).withColumnRenamed("ord", "chunk_id")
+    boxes = grid.patch_grid(sizes)
+    v = grid.extract_patches(_voxels(spark, d), boxes).withColumnRenamed("ord", "chunk_id")
     scaled = F.col("v") * (F.col("chunk_id") % 3 + 1)
     classes = v.select("volume_id", "chunk_id", *AXES, F.when(scaled > 0.3, 1).when(scaled > 0.1, 2).otherwise(0).alias("cls"))
     shapes = sizes.select("volume_id", "n_z", "n_y", "n_x")
-    return _plain(overlap.chunk_owned(classes, chunks.withColumnRenamed("ord", "chunk_id"), shapes, (4, 4, 4)))
+    return _plain(overlap.chunk_owned(classes, boxes.withColumnRenamed("ord", "chunk_id"), shapes, (4, 4, 4)))
+
+
+def _chunked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks of 16 and patches of 8 voxels, several of each along every axis; scores that differ from patch to patch."""
+    sizes = _sizes(spark, d, 8, 4).select("*", *(F.lit(16).alias(f"c_{a}") for a in AXES))
+    patches = grid.chunked_grid(sizes)
+    pv = grid.extract_patches(_voxels(spark, d), patches, block=8)
+    scores = F.array(F.lit(0.3), 0.3 + F.col("v") * (F.col("lz") + 1), 0.3 + F.col("v") * (F.col("lx") - 2))
+    return pv.withColumn("probs", scores), patches, chunks.chunks_of(patches, sizes)
+
+
+_CUT = " AND ".join(f"{a} >= o{a} + CASE WHEN o{a} > 0 THEN 4 ELSE 0 END AND {a} < o{a} + 16 - CASE WHEN o{a} + 16 < {n} THEN 4 ELSE 0 END" for a, n in (("z", "nz"), ("y", "40"), ("x", "40")))
+CHUNKED = f"""WITH {VOX}, {DIM}, oz AS (SELECT unnest({_starts("nz", 16, 8)}) AS oz FROM dim), oy AS (SELECT unnest({_starts("40", 16, 8)}) AS oy), ox AS (SELECT unnest({_starts("40", 16, 8)}) AS ox),
+inner_ AS (SELECT a.i AS iz, b.i AS iy, c.i AS ix FROM (VALUES (0), (4), (8)) a(i), (VALUES (0), (4), (8)) b(i), (VALUES (0), (4), (8)) c(i)),
+cell AS (SELECT oz, oy, ox, z, y, x, v, z - oz - iz AS lz, y - oy - iy AS ly, x - ox - ix AS lx FROM vox JOIN oz ON z >= oz AND z < oz + 16 JOIN oy ON y >= oy AND y < oy + 16 JOIN ox ON x >= ox AND x < ox + 16
+  JOIN inner_ ON z - oz >= iz AND z - oz < iz + 8 AND y - oy >= iy AND y - oy < iy + 8 AND x - ox >= ix AND x - ox < ix + 8),
+sums AS (SELECT oz, oy, ox, z, y, x, [round(sum({GAUSS} * 0.3), 9), round(sum({GAUSS} * (0.3 + v * (lz + 1))), 9), round(sum({GAUSS} * (0.3 + v * (lx - 2))), 9)] AS q FROM cell GROUP BY ALL),
+own AS (SELECT z, y, x, (oz * 10000 + oy) * 10000 + ox AS chunk, CAST(list_position(q, list_max(q)) - 1 AS INT) AS cls FROM sums, dim WHERE {_CUT})
+SELECT z, y, x, max_by(cls, chunk) AS cls FROM own GROUP BY z, y, x"""
+
+
+@query(CHUNKED)
+def chunk_sums(spark, d):
+    """Weighted sums per chunk, classes, margins, and the last chunk's voxels where two hold them."""
+    scored, patches, boxes = _chunked(spark, d)
+    classes = chunks.batch_chunks(scored, patches, boxes, (16,) * 3, (8,) * 3)
+    return classes.groupBy(*AXES).agg(F.max_by("cls", "chunk_id").alias("cls"))
+
+
+@query(CHUNKED)
+def chunk_stream(spark, d):
+    """The same from a stream of patches, chunk by chunk as their last patches arrive."""
+    scored, patches, boxes = _chunked(spark, d)
+    path = fresh_path(spark, "patch-stream")
+    packed = chunks.chunk_patches(scored, boxes, patches, 3)
+    # dealt out by a hash of the patch, so that chunks arrive out of order and in pieces
+    packed.repartition(4, F.xxhash64("z0", "y0", "x0")).write.parquet(path + "/in")
+    stream = spark.readStream.schema(packed.schema).option("maxFilesPerTrigger", 2).parquet(path + "/in")
+    classes = chunks.run_available(stream, path + "/out", path + "/checkpoint", (16,) * 3, (8,) * 3, (4,) * 3)
+    return classes.groupBy(*AXES).agg(F.max_by("cls", "chunk_id").alias("cls"))
 
 
 @query(f"""WITH {VOX}, {DIM}, w AS (SELECT greatest(CAST(ceil(nz / 7.0) * 7 AS INT), 21) AS wz, nz FROM dim),
