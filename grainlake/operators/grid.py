@@ -76,10 +76,14 @@ def chunked_grid(sizes: DataFrame) -> DataFrame:
 
 
 def paired_grids(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Patches of two clamped grids joined by their ordinal; an error at run time if a volume's numbers differ."""
-    a = source.select("volume_id", "ord", *(F.col(f"{x}{i}").alias(f"{x}{i}") for x in AXES for i in (0, 1)))
-    b = target.select("volume_id", "ord", *(F.col(f"{x}{i}").alias(f"t_{x}{i}") for x in AXES for i in (0, 1)))
-    both = a.join(b, ["volume_id", "ord"], "full")
+    """Patches of two grids joined by their ordinal; an error at run time if a volume's numbers differ.
+
+    Of chunked grids both must have a patch in the same chunk; ``chunk_id`` stays.
+    """
+    keys = ["volume_id", *(["chunk_id"] if "chunk_id" in source.columns else []), "ord"]
+    a = source.select(*keys, *(F.col(f"{x}{i}").alias(f"{x}{i}") for x in AXES for i in (0, 1)))
+    b = target.select(*keys, *(F.col(f"{x}{i}").alias(f"t_{x}{i}") for x in AXES for i in (0, 1)))
+    both = a.join(b, keys, "full")
     same = F.assert_true(F.col("z0").isNotNull() & F.col("t_z0").isNotNull(), F.lit("the grids have different numbers of patches"))
     return both.where(same.isNull())
 

@@ -381,6 +381,33 @@ def chunk_stream(spark, d):
     return classes.groupBy(*AXES).agg(F.max_by("cls", "chunk_id").alias("cls"))
 
 
+_CUT_HALF = " AND ".join(f"{a} >= o{a} + CASE WHEN o{a} > 0 THEN 2 ELSE 0 END AND {a} < o{a} + 8 - CASE WHEN o{a} + 8 < {n} THEN 2 ELSE 0 END" for a, n in (("z", "nz // 2"), ("y", "20"), ("x", "20")))
+_HALF_GAUSS = "exp(-((z - oz - iz - 2) ** 2 + (y - oy - iy - 2) ** 2 + (x - ox - ix - 2) ** 2) * CAST(2 AS DOUBLE))"
+
+
+@query(f"""WITH {VOX}, {DIM}, oz AS (SELECT unnest({_starts("nz // 2", 8, 4)}) AS oz FROM dim), oy AS (SELECT unnest({_starts("20", 8, 4)}) AS oy), ox AS (SELECT unnest({_starts("20", 8, 4)}) AS ox),
+i AS (SELECT unnest([0, 2, 4]) AS i), g AS (SELECT k, exp(CAST(-2 AS DOUBLE) * k * k) / sum(exp(CAST(-2 AS DOUBLE) * k * k)) OVER () AS g FROM (SELECT unnest(range(-2, 3)) AS k)),
+t AS (SELECT d, least(greatest(2 * d + e + k, 0), 7) AS s, sum(g / 2) AS w FROM (SELECT unnest(range(4)) AS d), (VALUES (0), (1)) v(e), g GROUP BY d, s),
+pz AS (SELECT oz, i AS iz FROM oz, i), py AS (SELECT oy, i AS iy FROM oy, i), px AS (SELECT ox, i AS ix FROM ox, i),
+rz AS (SELECT oz, iz, oz + iz + d AS z, y, x, sum(w * v) AS v FROM pz, t JOIN vox ON vox.z = 2 * (oz + iz) + s GROUP BY ALL),
+ry AS (SELECT oz, iz, oy, iy, z, oy + iy + d AS y, x, sum(w * v) AS v FROM py, t JOIN rz ON rz.y = 2 * (oy + iy) + s GROUP BY ALL),
+rx AS (SELECT oz, iz, oy, iy, ox, ix, z, y, ox + ix + d AS x, sum(w * v) AS v FROM px, t JOIN ry ON ry.x = 2 * (ox + ix) + s GROUP BY ALL),
+sums AS (SELECT oz, oy, ox, z, y, x, [round(sum({_HALF_GAUSS} * 0.02), 9), round(sum({_HALF_GAUSS} * v), 9), round(sum({_HALF_GAUSS} * -v), 9)] AS q FROM rx GROUP BY ALL),
+own AS (SELECT z, y, x, (oz * 10000 + oy) * 10000 + ox AS chunk, CAST(list_position(q, list_max(q)) - 1 AS INT) AS cls FROM sums, dim WHERE {_CUT_HALF})
+SELECT CAST(z AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x, max_by(cls, chunk) AS cls FROM own GROUP BY z, y, x""")
+def chunk_resized(spark, d):
+    """Patches of chunks read at full size, each halved by itself, and put together on the chunks of the halved volume."""
+    sizes = _sizes(spark, d, 8, 4).select("*", *(F.lit(16).alias(f"c_{a}") for a in AXES))
+    half = sizes.select("volume_id", *((F.col(f"{k}_{a}") / 2).cast("int").alias(f"{k}_{a}") for a in AXES for k in "npsc"))
+    source, target = grid.chunked_grid(sizes), grid.chunked_grid(half)
+    pairs = grid.paired_grids(source, target)
+    small = predict.resize_patches(grid.extract_patches(_voxels(spark, d), source, block=8), (8, 8, 8), (4, 4, 4))
+    placed = small.join(pairs.select("volume_id", "ord", *(f"t_{a}0" for a in AXES)), ["volume_id", "ord"])
+    placed = placed.select("volume_id", "ord", *((F.col(f"t_{a}0") + F.col(f"l{a}")).alias(a) for a in AXES), "lz", "ly", "lx", F.array(F.lit(0.02), F.col("v"), -F.col("v")).alias("probs"))
+    classes = chunks.batch_chunks(placed, target, chunks.chunks_of(target, half), (8,) * 3, (4,) * 3)
+    return classes.groupBy(*AXES).agg(F.max_by("cls", "chunk_id").alias("cls"))
+
+
 @query(f"""WITH {VOX}, {DIM}, w AS (SELECT greatest(CAST(ceil(nz / 7.0) * 7 AS INT), 21) AS wz, nz FROM dim),
 p AS (SELECT z + (wz - nz) // 2 AS z, y + 1 AS y, x + 1 AS x, v FROM vox, w)
 SELECT CAST(z AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x, coalesce(v, 0) AS v FROM (SELECT unnest(range(wz)) AS z FROM w) CROSS JOIN (SELECT unnest(range(42)) AS y) CROSS JOIN (SELECT unnest(range(42)) AS x) LEFT JOIN p USING (z, y, x)""")

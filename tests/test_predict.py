@@ -91,3 +91,45 @@ def test_no_patches(spark):
     vox = volume(spark, {"v": np.ones((4, 4, 4))}).where("false")
     none = predict.predict_patches(grid.grid_patches(vox, sizes_row(spark, [("v", (4, 4, 4), (2, 2, 2), (2, 2, 2))])), (2, 2, 2), predict.PatchModel("stencil", stencil))
     assert none.count() == 0 and none.where(F.size("probs") != 3).count() == 0
+
+
+def resized(a, target):
+    """Blurred where it shrinks, then linear between half-pixel centres, an axis after the other and a line at a time."""
+    for axis, m in enumerate(target):
+        n, out = a.shape[axis], []
+        lines = np.moveaxis(a, axis, 0)
+        sigma = max(0.0, (n / m - 1) / 2)
+        reach = int(4 * sigma + 0.5)
+        g = {k: np.exp(-k * k / (2 * sigma * sigma)) if sigma else 1.0 for k in range(-reach, reach + 1)}
+        take = lambda i: lines[min(max(i, 0), n - 1)]
+        blurred = lambda i: sum(g[k] * take(i + k) for k in g) / sum(g.values())
+        for d in range(m):
+            at = min(max((d + 0.5) * n / m - 0.5, 0), n - 1)
+            low = int(at)
+            out.append((1 - (at - low)) * blurred(low) + (at - low) * blurred(min(low + 1, n - 1)))
+        a = np.moveaxis(np.array(out), 0, axis)
+    return a
+
+
+@pytest.mark.parametrize("target", [(2, 6, 4), (8, 3, 1)])
+def test_resized_patches(spark, target):
+    rng = np.random.default_rng(2)
+    arrays = {"a": rng.normal(size=(6, 7, 4)), "b": rng.normal(size=(4, 6, 4))}
+    sizes = sizes_row(spark, [(k, a.shape, (4, 6, 4), (2, 3, 2)) for k, a in arrays.items()])
+    patches = grid.grid_patches(volume(spark, arrays), sizes)
+    corner = {(r.volume_id, r.ord): (r.z0, r.y0, r.x0) for r in patches.select("volume_id", "ord", "z0", "y0", "x0").distinct().collect()}
+    got = predict.resize_patches(patches, (4, 6, 4), target, batch=2).toPandas()
+    assert len(got) == len(corner) * np.prod(target)
+    for (name, k), rows in got.groupby(["volume_id", "ord"]):
+        z, y, x = corner[name, k]
+        want = resized(arrays[name][z : z + 4, y : y + 6, x : x + 4], target)
+        assert np.allclose(rows.v, want[rows.lz, rows.ly, rows.lx], atol=1e-12)
+
+
+def test_chunked_pairs_must_match(spark):
+    sizes = sizes_row(spark, [("v", (12, 8, 8), (4, 4, 4), (4, 4, 4))]).select("*", *(F.lit(8).alias(f"c_{a}") for a in AXES))
+    half = sizes.select("volume_id", *((F.col(f"{k}_{a}") / 2).cast("int").alias(f"{k}_{a}") for a in AXES for k in "npsc"))
+    pairs = grid.paired_grids(grid.chunked_grid(sizes), grid.chunked_grid(half))
+    assert pairs.count() == 2 * 8 and pairs.where("2 * t_z0 <> z0 or chunk_id is null").count() == 0
+    with pytest.raises(Exception, match="different numbers"):
+        grid.paired_grids(grid.chunked_grid(sizes), grid.chunked_grid(half.withColumn("s_x", F.lit(1)))).collect()
