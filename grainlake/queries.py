@@ -12,7 +12,7 @@ from .functions import scalars as S
 from .operators import distance, grid, growth, overlap, particles, predict, resample
 from .operators.grid import AXES
 from .plans import segment, zoom
-from .sources import nifti
+from .sources import blocks, nifti, tiff
 from .sources import tables as T
 from .storage import fresh_path
 from .streaming import chunks
@@ -679,6 +679,43 @@ def nifti_labels(spark, d):
     return heads.join(sums, "volume_id")
 
 
+def _lines(spark: SparkSession, d: str, factor: float = 1.0, is_seg: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The lines of the one large volume, and its row of sizes."""
+    sizes = _sizes(spark, d, 1, 1).select("volume_id", "n_z", "n_y", "n_x", *(F.lit(1.0).alias(f"spacing_{a}") for a in AXES))
+    return nifti.to_lines(_voxels(spark, d).withColumn("v", F.col("v") * factor), sizes, is_seg=is_seg), sizes
+
+
+@query(f"WITH {VOX} SELECT z, y, x, v FROM vox")
+def tiff_slices(spark, d):
+    """A volume written as slices, read back in the natural order of their names, and kept as blocks."""
+    path = fresh_path(spark, "tiff")
+    tiff.save_tiff(_lines(spark, d)[0], path + "/slices")
+    blocks.save_blocks(tiff.load_tiff(spark, path + "/slices"), path + "/blocks", edge=16)
+    return _plain(blocks.voxels_of_blocks(spark.read.parquet(path + "/blocks")))
+
+
+@query(f"""WITH {CASES} SELECT volume_id, CAST(z // 5 AS INT) AS bz, 0 AS by, 0 AS bx, CAST(min(z) AS INT) AS z0, CAST(max(z) - min(z) + 1 AS INT) AS dz, count(*) AS voxels, round(sum(v * (z * 16 + y * 4 + x)), 6) AS total FROM cases GROUP BY volume_id, z // 5""")
+def nifti_blocks(spark, d):
+    """NIfTI volumes as a table of blocks."""
+    path = fresh_path(spark, "nifti-blocks")
+    nifti.save_nifti(nifti.to_lines(*_cases(spark, d)), path + "/volumes")
+    blocks.save_blocks(nifti.load_lines(spark, path + "/volumes"), path + "/blocks", edge=5)
+    table = spark.read.parquet(path + "/blocks").withColumn("at", F.transform("data", lambda v, k: v * (F.col("z0") * 16 + k)))
+    total = F.round(F.aggregate("at", F.lit(0.0), lambda a, v: a + v), 6)
+    return table.select("volume_id", "bz", "by", "bx", "z0", "dz", F.size("data").cast("long").alias("voxels"), total.alias("total"))
+
+
+@query(f"""WITH {VOX} SELECT z, y, x, round_even(v * 50, 0) + 0.0 AS v FROM vox WHERE z >= 6 AND z < 14 AND y >= 11 AND y < 39 AND x < 23""")
+def tiff_to_nifti(spark, d):
+    """Deflated integer slices turned into a NIfTI file, that into blocks, and a box of them."""
+    path = fresh_path(spark, "tiff-nifti")
+    lines, sizes = _lines(spark, d, 50.0, True)
+    tiff.save_tiff(lines, path + "/slices", "int16", compress=True)
+    nifti.save_nifti(tiff.load_tiff(spark, path + "/slices").join(sizes, "volume_id"), path + "/volumes", dtype="int32", compression="none")
+    blocks.save_blocks(nifti.load_lines(spark, path + "/volumes"), path + "/blocks", edge=8)
+    return _plain(blocks.box_of_blocks(spark.read.parquet(path + "/blocks"), (6, 11, 0), (14, 39, 23), 8))
+
+
 # --- the whole way ---
 
 
