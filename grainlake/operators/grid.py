@@ -7,6 +7,7 @@ sizes: ``volume_id`` and, for each axis a in z, y, x, ``n_a`` (its length),
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -146,16 +147,60 @@ def full_grid(shapes: DataFrame) -> DataFrame:
     return df.select("volume_id", *AXES)
 
 
-def pad(voxels: DataFrame, shapes: DataFrame, least: tuple[int, int, int], multiple: tuple[int, int, int] = (1, 1, 1), fill: float = 0.0) -> DataFrame:
-    """Each volume padded to ``least`` per axis or more, and to a multiple; the odd voxel goes above; never cropped."""
+def pad_bounds(shapes: DataFrame, least: Sequence[int | Column], multiple: Sequence[int] = (1, 1, 1)) -> DataFrame:
+    """``shapes`` with ``w_a``, each axis' padded length, and ``d_a``, what goes below; the odd voxel goes above; never cropped."""
     s = shapes
     for a, low, m in zip(AXES, least, multiple):
-        want = F.greatest(F.col(f"n_{a}"), F.lit(low))
+        want = F.greatest(F.col(f"n_{a}"), low if isinstance(low, Column) else F.lit(low))
         want = F.ceil(want / m) * m
         s = s.withColumn(f"w_{a}", want.cast("int")).withColumn(f"d_{a}", F.floor((F.col(f"w_{a}") - F.col(f"n_{a}")) / 2).cast("int"))
+    return s
+
+
+def _images(a: str, mode: str) -> Column:
+    """All positions of the padded axis that take their value from position ``a``."""
+    at, n, w, d = (F.col(c) for c in (a, f"n_{a}", f"w_{a}", f"d_{a}"))
+    span = lambda low, high: F.when(low <= high, F.sequence(low.cast("int"), F.greatest(low, high).cast("int"))).otherwise(F.array().cast("array<int>"))
+    if mode == "edge":
+        below = F.when(at == 0, span(F.lit(0), d - 1)).otherwise(F.array().cast("array<int>"))
+        above = F.when(at == n - 1, span(d + n, w - 1)).otherwise(F.array().cast("array<int>"))
+        return F.concat(below, F.array((d + at).cast("int")), above)
+    if mode not in ("reflect", "symmetric", "wrap"):
+        raise ValueError(f"unknown mode {mode}")
+    # the axis repeats with a period, in which a position comes once or mirrored as well
+    period = F.greatest(2 * n - 2, F.lit(1)) if mode == "reflect" else 2 * n if mode == "symmetric" else n
+    series = lambda first: F.filter(F.transform(span(-F.ceil(w / period), F.ceil(w / period)), lambda k: (first + k * period).cast("int")), lambda t: (t >= 0) & (t < w))
+    if mode == "wrap":
+        return series(d + at)
+    return F.array_distinct(F.concat(series(d + at), series(d - at if mode == "reflect" else d - at - 1)))
+
+
+def pad(voxels: DataFrame, shapes: DataFrame, least: Sequence[int | Column], multiple: Sequence[int] = (1, 1, 1), fill: float = 0.0, mode: str = "constant") -> DataFrame:
+    """Each volume padded to ``least`` per axis or more, and to a multiple, with all its value columns.
+
+    ``constant`` fills with ``fill``, and with it gives a row to positions that
+    had none; ``edge``, ``reflect``, ``symmetric`` and ``wrap`` repeat voxels of
+    the volume: each voxel lists the positions that take its value, so nothing
+    but the row of sizes is joined.
+    """
+    s = pad_bounds(shapes, least, multiple)
+    values = [c for c in voxels.columns if c not in ("volume_id", *AXES)]
+    if mode != "constant":
+        df = voxels.join(s.select("volume_id", *(f"{k}_{a}" for a in AXES for k in "nwd")), "volume_id")
+        for a in AXES:
+            df = df.select("*", F.explode(_images(a, mode)).alias(f"t_{a}"))
+        return df.select("volume_id", *(F.col(f"t_{a}").alias(a) for a in AXES), *values)
     grid = full_grid(s.select("volume_id", *(F.col(f"w_{a}").alias(f"n_{a}") for a in AXES)))
-    moved = voxels.join(s.select("volume_id", *(f"d_{a}" for a in AXES)), "volume_id").select("volume_id", *((F.col(a) + F.col(f"d_{a}")).cast("int").alias(a) for a in AXES), "v")
-    return grid.join(moved, ["volume_id", *AXES], "left").withColumn("v", F.coalesce("v", F.lit(float(fill))))
+    moved = voxels.join(s.select("volume_id", *(f"d_{a}" for a in AXES)), "volume_id").select("volume_id", *((F.col(a) + F.col(f"d_{a}")).cast("int").alias(a) for a in AXES), *values)
+    return grid.join(moved, ["volume_id", *AXES], "left").select("volume_id", *AXES, *(F.coalesce(c, F.lit(float(fill))).alias(c) for c in values))
+
+
+def unpad(voxels: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The way back from ``pad``, for any columns: ``bounds`` is that of ``pad_bounds``."""
+    df = voxels.join(bounds.select("volume_id", *(f"{k}_{a}" for a in AXES for k in "dn")), "volume_id")
+    inside = reduce(lambda x, y: x & y, [(F.col(a) >= F.col(f"d_{a}")) & (F.col(a) < F.col(f"d_{a}") + F.col(f"n_{a}")) for a in AXES])
+    rest = [c for c in voxels.columns if c not in ("volume_id", *AXES)]
+    return df.where(inside).select("volume_id", *((F.col(a) - F.col(f"d_{a}")).cast("int").alias(a) for a in AXES), *rest)
 
 
 def crop(voxels: DataFrame, offsets: tuple[int, int, int], shape: tuple[int, int, int]) -> DataFrame:

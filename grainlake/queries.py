@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import distance, grid, growth, overlap, particles, predict, resample
 from .operators.grid import AXES
-from .plans import segment, zoom
-from .sources import blocks, nifti, tiff
+from .plans import segment, tiled, zoom
+from .sources import blocks, files, metadata, nifti, tiff
 from .sources import tables as T
 from .storage import fresh_path
 from .streaming import chunks
@@ -318,6 +318,26 @@ def predict_patches(spark, d):
     return sums.select(*AXES, *(F.round(F.col("sums")[c] / F.col("total"), 6).alias(f"p{c}") for c in range(3)))
 
 
+def layered(fold: int):
+    """A network of one fold over three slices."""
+
+    def network(p: np.ndarray) -> np.ndarray:
+        below, own, above = p[:, 0], p[:, 1], p[:, 2]
+        return np.stack([0.2 * below, 5 * own - 3 * below, 4 * own + 2 * above], axis=1)
+
+    return network if fold == 0 else None
+
+
+@query(f"""WITH {VOX}, n AS (SELECT z, y, x, v / 0.125 AS v, coalesce(lag(v) OVER w, 0) / 0.125 AS b, coalesce(lead(v) OVER w, 0) / 0.125 AS a FROM vox WINDOW w AS (PARTITION BY y, x ORDER BY z)),
+e AS (SELECT z, y, x, exp(0.2 * b) AS e0, exp(5 * v - 3 * b) AS e1, exp(4 * v + 2 * a) AS e2 FROM n)
+SELECT z, y, x, round(e0 / (e0 + e1 + e2), 6) AS p0, round(e1 / (e0 + e1 + e2), 6) AS p1, round(e2 / (e0 + e1 + e2), 6) AS p2, CASE WHEN e0 >= e1 AND e0 >= e2 THEN 0 WHEN e1 >= e2 THEN 1 ELSE 2 END AS cls FROM e""")
+def predict_slices(spark, d):
+    """Slice by slice with a slice on either side as channels, in tiles that must be padded along one axis and overlap along the other."""
+    shapes = _sizes(spark, d, 8, 4).select("volume_id", "n_z", "n_y", "n_x")
+    out = tiled.predict_tiled(_voxels(spark, d), shapes, predict.PatchModel("layered", layered), (1, 48, 16), 0.5, 0.0, 0.125, (1, 2), extra_slices=1)
+    return out.select(*AXES, *(F.round(F.col("probs")[c], 6).alias(f"p{c}") for c in range(3)), "cls")
+
+
 @query("""SELECT event_id, round(sum(value * (user_id % 5 + 1)) OVER w / sum(user_id % 5 + 1) OVER w, 8) AS running_mean FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def running_mean(spark, d):
@@ -417,6 +437,40 @@ def pad_crop(spark, d):
     return _plain(grid.pad(_voxels(spark, d), shapes, (21, 21, 21), (7, 7, 7)))
 
 
+def _padded_sql(index: str) -> str:
+    return f"""WITH {VOX}, {DIM}, wz AS (SELECT unnest(range(nz + 15)) AS z, nz, 7 AS d, nz AS n FROM dim), wy AS (SELECT unnest(range(49)) AS y, 4 AS d, 40 AS n), wx AS (SELECT unnest(range(40)) AS x, 0 AS d, 40 AS n),
+iz AS (SELECT z, {index.format(t='(z - d)')} AS s FROM wz), iy AS (SELECT y, {index.format(t='(y - d)')} AS s FROM wy), ix AS (SELECT x, x AS s FROM wx)
+SELECT CAST(iz.z AS INT) AS z, CAST(iy.y AS INT) AS y, CAST(ix.x AS INT) AS x, v FROM vox JOIN iz ON iz.s = vox.z JOIN iy ON iy.s = vox.y JOIN ix ON ix.s = vox.x"""
+
+
+def _pad_by(spark, d, mode):
+    shapes = _sizes(spark, d, 8, 4).select("volume_id", "n_z", "n_y", "n_x")
+    return _plain(grid.pad(_voxels(spark, d), shapes, (F.col("n_z") + 15, 49, 8), mode=mode))
+
+
+@query(_padded_sql("least(greatest({t}, 0), n - 1)"))
+def pad_edge(spark, d):
+    return _pad_by(spark, d, "edge")
+
+
+@query(_padded_sql("abs(abs({t} + 2 * (n - 1)) % (2 * (n - 1)) - CASE WHEN abs({t} + 2 * (n - 1)) % (2 * (n - 1)) < n THEN 0 ELSE 2 * (n - 1) END)"))
+def pad_reflect(spark, d):
+    return _pad_by(spark, d, "reflect")
+
+
+@query(f"WITH {VOX} SELECT z, y, x, v FROM vox")
+def pad_and_back(spark, d):
+    """Padding and the cut that undoes it."""
+    shapes = _sizes(spark, d, 8, 4).select("volume_id", "n_z", "n_y", "n_x")
+    least, multiple = (21, 47, 8), (1, 1, 9)
+    return _plain(grid.unpad(grid.pad(_voxels(spark, d), shapes, least, multiple, mode="symmetric"), grid.pad_bounds(shapes, least, multiple)))
+
+
+@query(f"WITH {VOX} SELECT z - 3 AS z, y - 11 AS y, x AS x, v FROM vox WHERE z >= 3 AND z < 17 AND y >= 11 AND y < 40 AND x < 5")
+def crop_box(spark, d):
+    return _plain(grid.crop(_voxels(spark, d), (3, 11, 0), (14, 29, 5)))
+
+
 @query(PATCHES_SQL + """, k AS (SELECT pv.* FROM pv, dim WHERE lz >= CASE WHEN z0 > 0 THEN 2 ELSE 0 END AND lz < 8 - CASE WHEN z0 + 8 < nz THEN 2 ELSE 0 END
   AND ly >= CASE WHEN y0 > 0 THEN 2 ELSE 0 END AND ly < 8 - CASE WHEN y0 + 8 < 40 THEN 2 ELSE 0 END AND lx >= CASE WHEN x0 > 0 THEN 2 ELSE 0 END AND lx < 8 - CASE WHEN x0 + 8 < 40 THEN 2 ELSE 0 END)
 SELECT z, y, x, count(*) AS n, round(sum(v), 6) AS total FROM k GROUP BY z, y, x""")
@@ -716,6 +770,32 @@ def tiff_to_nifti(spark, d):
     return _plain(blocks.box_of_blocks(spark.read.parquet(path + "/blocks"), (6, 11, 0), (14, 39, 23), 8))
 
 
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS volume_id, p_size / CAST(1000 AS DOUBLE) AS spacing, p_retailprice / CAST(1000 AS DOUBLE) AS particle_size,
+  round((CAST(0.1 AS DOUBLE) / (p_size / CAST(1000 AS DOUBLE))) * ((p_retailprice / CAST(1000 AS DOUBLE)) / (CAST(60 AS DOUBLE) * CAST(0.1 AS DOUBLE))), 9) AS factor FROM part WHERE p_partkey % 3 > 0""")
+def metadata_scan(spark, d):
+    """JSON metadata, a file for each brand, read back and met by the volumes, of which none may lack it."""
+    path = fresh_path(spark, "metadata")
+    part = T.read(spark, d, "part")
+    meta = T.meta_of_parts(part).withColumn("volume_id", F.col("volume_id").cast("string")).join(part.select(F.col("p_partkey").cast("string").alias("volume_id"), "p_brand"), "volume_id")
+    files.save_files(metadata.metadata_files(meta, F.concat("p_brand", F.lit(".json"))), path)
+    volumes = part.where("p_partkey % 3 > 0").select(F.col("p_partkey").cast("string").alias("volume_id"))
+    known = metadata.with_metadata(volumes, metadata.read_metadata(spark, path))
+    factor = S.size_conversion_factor(F.col("particle_size"), F.col("spacing"), F.lit(60 * 0.1), F.lit(0.1))
+    return known.select("volume_id", "spacing", "particle_size", F.round(factor, 9).alias("factor"))
+
+
+@query("""WITH n AS (SELECT DISTINCT source FROM documents), t AS (SELECT string_agg(format('{{"image":"./imagesTr/{}.nii.gz","label":"./labelsTr/{}.nii.gz"}}', source, source), ',' ORDER BY source) AS l, count(*) AS n FROM n),
+s AS (SELECT string_agg(format('"./imagesTs/{}.nii.gz"', lang), ',' ORDER BY lang) AS l, count(*) AS n FROM (SELECT DISTINCT lang FROM documents))
+SELECT format('{{"description":"","labels":{{"0":"background","1":"core","2":"border"}},"licence":"hands off!","modality":{{"0":"CT"}},"name":"grains","numTest":{},"numTraining":{},"reference":"","release":"0.0","tensorImageSize":"4D","test":[{}],"training":[{}]}}', s.n, t.n, s.l, t.l) AS json FROM t, s""")
+def manifest_json(spark, d):
+    """The manifest of a data set whose training volumes are the sources and whose test volumes are the languages, written and read back."""
+    path = fresh_path(spark, "manifest")
+    doc = T.read(spark, d, "documents")
+    names = lambda c: metadata.identifiers(doc.where(F.col(c).isNotNull()).select(F.concat(c, F.lit("_0000.nii.gz")).alias("name")).distinct())
+    metadata.save_manifest(metadata.manifest(names("source"), names("lang"), "grains", ["CT"], {0: "background", 1: "core", 2: "border"}), path)
+    return spark.read.option("wholetext", True).text(path + "/dataset.json").select(F.col("value").alias("json"))
+
+
 # --- the whole way ---
 
 
