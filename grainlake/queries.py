@@ -799,13 +799,73 @@ def manifest_json(spark, d):
 # --- the whole way ---
 
 
-@query()
+#: Classes from the logistic stand-in over all patches, in place of thresholds.
+PREDICTED = f"""pz AS (SELECT unnest({_starts("nz", 8, 4)}) AS z0 FROM dim), py AS (SELECT unnest({_starts("40", 8, 4)}) AS y0), px AS (SELECT unnest({_starts("40", 8, 4)}) AS x0),
+pv AS (SELECT z, y, x, z - z0 AS lz, y - y0 AS ly, x - x0 AS lx, v FROM vox JOIN pz ON z >= z0 AND z < z0 + 8 JOIN py ON y >= y0 AND y < y0 + 8 JOIN px ON x >= x0 AND x < x0 + 8), sg AS (SELECT z, y, x, lz, ly, lx, 1 / (1 + exp(-4 * (v / 0.125 - 1.2))) AS b, 1 / (1 + exp(-4 * (v / 0.125 - 2.0))) AS c FROM pv),
+pq AS (SELECT z, y, x, [round(sum({GAUSS} * (1 - b)), 9), round(sum({GAUSS} * (b * c)), 9), round(sum({GAUSS} * (b * (1 - c))), 9)] AS q FROM sg GROUP BY z, y, x),
+fg AS MATERIALIZED (SELECT z, y, x, (CAST(z AS BIGINT) * 40 + y) * 40 + x AS lin, CAST(list_position(q, list_max(q)) - 1 AS INT) AS cls FROM pq WHERE list_position(q, list_max(q)) > 1)"""
+
+
+@query(f"""WITH RECURSIVE {CORE_COMP.replace(FG, PREDICTED)}, {GROWN}, n AS (SELECT label, count(*) AS voxels FROM lab GROUP BY label),
+keep AS (SELECT label FROM n WHERE voxels >= 0.005 * (SELECT sum(voxels) / max(label) FROM n)) SELECT z, y, x, CAST(label AS BIGINT) AS label FROM lab JOIN fg USING (lin) WHERE label IN (SELECT label FROM keep)""")
 def segment_volume(spark, d):
     return _plain(segment.segment_volume(_voxels(spark, d), _shape(spark, d), 0.0, 0.125))
 
 
-@query()
+_NEAR2 = f"""cells AS MATERIALIZED (SELECT *, (CAST(z AS BIGINT) * 24 + y) * 50 + x AS lin FROM small),
+around AS MATERIALIZED (SELECT lin, label, (CAST(z + oz AS BIGINT) * 24 + y + oy) * 50 + x + ox AS there FROM cells, dim, (VALUES {_O9}) o(oz, oy, ox)
+  WHERE z + oz BETWEEN 0 AND nz + nz // 2 - 1 AND y + oy BETWEEN 0 AND 23 AND x + ox BETWEEN 0 AND 49),
+edge AS MATERIALIZED (SELECT DISTINCT a.lin FROM around a LEFT JOIN cells c ON c.lin = a.there WHERE c.label IS NULL OR c.label <> a.label)"""
+
+
+@query(f"""WITH {VOX}, {DIM}, {TILES}, {LINEAR}, image AS MATERIALIZED (SELECT tz.d AS z, ty.d AS y, tx.d AS x, sum(v / 0.125 * tz.w * ty.w * tx.w) AS v FROM vox JOIN tz ON tz.s = vox.z JOIN ty ON ty.s = vox.y JOIN tx ON tx.s = vox.x GROUP BY ALL),
+p AS (SELECT tz.d AS z, ty.d AS y, tx.d AS x, label, sum(tz.w * ty.w * tx.w) AS share FROM lab JOIN tz ON tz.s = lab.z JOIN ty ON ty.s = lab.y JOIN tx ON tx.s = lab.x GROUP BY ALL),
+small AS MATERIALIZED (SELECT z, y, x, max(label) AS label FROM p WHERE share >= 0.5 - 1e-9 GROUP BY z, y, x), {_NEAR2}
+SELECT i.z, i.y, i.x, round(v, 6) AS v, coalesce(c.label, 0) AS label, CASE WHEN c.lin IS NULL THEN 0 WHEN e.lin IS NULL THEN 1 ELSE 2 END AS cls
+FROM image i LEFT JOIN cells c ON c.z = i.z AND c.y = i.y AND c.x = i.x LEFT JOIN edge e ON e.lin = c.lin""")
 def prepare_training(spark, d):
     nz, ny, nx = _shape(spark, d)
     out = segment.prepare_training(_voxels(spark, d), _tiles(spark, d), (nz, ny, nx), (nz + nz // 2, 24, 50), 0.0, 0.125, 2)
     return _plain(out.withColumn("v", F.round("v", 6)))
+
+
+def _meta_of_cases(spark: SparkSession) -> DataFrame:
+    """Metadata by which patches of 6 or 8 voxels become patches of 8."""
+    rows = [(f"case_{k}", 0.1, 6.0 if k % 2 else 4.5) for k in range(5)]
+    return spark.createDataFrame(rows, "volume_id string, spacing double, particle_size double")
+
+
+_CASE_LINEAR = ", ".join(
+    f"""t{a} AS (SELECT volume_id, d, s, sum(w) AS w FROM (SELECT volume_id, d, unnest([least(floor(p), n - 1), least(least(floor(p), n - 1) + 1, n - 1)]) AS s, unnest([1 - (p - least(floor(p), n - 1)), p - least(floor(p), n - 1)]) AS w
+  FROM (SELECT volume_id, d, n, greatest(0, (d + 0.5) * (CAST(n AS DOUBLE) / m) - 0.5) AS p FROM (SELECT volume_id, {n} AS n, {m} AS m, unnest(range({m})) AS d FROM sizes))) WHERE w > 0 GROUP BY ALL)"""
+    for a, n, m in (("z", "nz", "mz"), ("y", "4", "5 + f"), ("x", "4", "3"))
+)
+
+
+@query(f"""WITH {CASES}, sizes AS (SELECT volume_id, CAST(max(z) + 1 AS INT) AS nz, CAST((max(z) + 1) // 2 + 1 AS INT) AS mz, CAST(volume_id[-1] AS INT) AS f FROM cases GROUP BY volume_id), {_CASE_LINEAR}
+SELECT volume_id, CAST(tz.d AS INT) AS z, CAST(ty.d AS INT) AS y, CAST(tx.d AS INT) AS x, round(sum(v * tz.w * ty.w * tx.w), 6) AS v FROM cases c JOIN tz USING (volume_id) JOIN ty USING (volume_id) JOIN tx USING (volume_id)
+WHERE tz.s = c.z AND ty.s = c.y AND tx.s = c.x GROUP BY ALL""")
+def resize_cases(spark, d):
+    """Volumes of different sizes, each to a size of its own."""
+    voxels, sizes = _cases(spark, d)
+    number = F.substring("volume_id", -1, 1).cast("int")
+    sizes = sizes.select("volume_id", *(f"n_{a}" for a in AXES), (F.floor(F.col("n_z") / 2) + 1).cast("int").alias("m_z"), (5 + number).alias("m_y"), F.lit(3).alias("m_x"))
+    return resample.resize_each(voxels, sizes).withColumn("v", F.round("v", 6))
+
+
+@query()
+def segment_cases(spark, d):
+    """Volumes with metadata of their own: zoomed, padded, predicted in patches, split, and brought back."""
+    return segment.segment_cases(_cases(spark, d)[0], _meta_of_cases(spark), predict.PatchModel("stencil", stencil), 0.0, 0.125, target_patch=8)
+
+
+@query()
+def training_cases(spark, d):
+    """Training data of volumes with metadata of their own, written as blocks and regions and read back."""
+    voxels = _cases(spark, d)[0]
+    labels = voxels.where("v > 0.05").select("volume_id", *AXES, F.floor(F.col("z") / 3).cast("int").alias("label")).where("label > 0")
+    out, shapes = segment.prepare_cases(voxels, labels, _meta_of_cases(spark), 0.0, 0.125, 1)
+    path = fresh_path(spark, "training")
+    segment.save_training(out, shapes, path, 8)
+    read = [blocks.voxels_of_blocks(spark.read.parquet(f"{path}/{n}")).withColumnRenamed("v", c) for n, c in (("images", "v"), ("semantic", "cls"), ("instances", "label"))]
+    return read[0].join(read[1], particles.VOXEL).join(read[2], particles.VOXEL).withColumn("v", F.round("v", 6))
