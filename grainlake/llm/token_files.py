@@ -31,6 +31,7 @@ WORD_BYTES = 64
 
 #: Runs of these at a word's end are tokenized apart from what is before them.
 TRAILING = b".,;:!?#*$%&|"
+_ALNUM = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 
@@ -79,41 +80,38 @@ class WordEncoder:
         return [np.array(c.ids, "<u4").tobytes() for c in coded]
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        cut = [(w, core := self._core(w), w[len(core) :]) for w in words]
-        new = list({x for _, core, tail in cut for x in (core, tail) if x not in self.parts})
-        fresh = {}
+        plain = [w for w in words if w[-1] in _ALNUM]
+        cut = [(w, core, w[len(core) :]) for w in words if w[-1] not in _ALNUM for core in (self._core(w),)]
+        new = set(plain).union(x for _, core, tail in cut for x in (core, tail)).difference(self.parts)
         letters = [x for x in new if x.isalpha() or not x.isascii() and x.decode().isalpha()]
-        others = set(new).difference(letters)
-        for group, coder in ((letters, self._together), (list(others), self._tokenize)):
+        others = list(new.difference(letters))
+        for group, coder in ((letters, self._together), (others, self._tokenize)):
             for at in range(0, len(group), 4096):
-                fresh.update(zip(group[at : at + 4096], coder(group[at : at + 4096])))
-        find = lambda x: self.parts[x] if x in self.parts else fresh[x]
-        out = {w: find(core) + find(tail) for w, core, tail in cut}
-        if len(self.parts) + len(fresh) > MAX_WORDS:
+                self.parts.update(zip(group[at : at + 4096], coder(group[at : at + 4096])))
+        find = self.parts.__getitem__
+        out = dict(zip(plain, map(find, plain)))
+        out.update((w, find(core) + find(tail)) for w, core, tail in cut)
+        if len(self.parts) > MAX_WORDS:
             self.parts = {b"": b""}
-        self.parts.update((x, c) for x, c in fresh.items() if len(x) <= WORD_BYTES)
+        else:
+            for part in new:
+                if len(part) > WORD_BYTES:
+                    del self.parts[part]
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        found, get, missing = [], self.words.get, set()
-        for text in texts:
-            if b"<|" in text:
-                found.append(self._tokenize([text]))
-                continue
-            words = text.translate(_LOWER).split()
-            ids = list(map(get, words))
-            if None in ids:
-                for k, x in enumerate(ids):
-                    if x is None:
-                        ids[k] = words[k], None
-                        missing.add(words[k])
-            found.append(ids)
-        fresh = self._learn(list(missing))
-        out = [b"".join([fresh[x[0]] if type(x) is tuple else x for x in ids]) for ids in found]
-        if len(self.words) + len(fresh) > MAX_WORDS:
+        split = [None if b"<|" in t else t.translate(_LOWER).split() for t in texts]
+        missing = set().union(*(w for w in split if w is not None)).difference(self.words)
+        self.words.update(self._learn(list(missing)))
+        find = self.words.__getitem__
+        out = [self._tokenize([t])[0] if w is None else b"".join(map(find, w)) for t, w in zip(texts, split)]
+        if len(self.words) > MAX_WORDS:
             self.words.clear()
-        self.words.update((w, c) for w, c in fresh.items() if len(w) <= WORD_BYTES)
+        else:
+            for word in missing:
+                if len(word) > WORD_BYTES:
+                    del self.words[word]
         return out
 
 
