@@ -218,7 +218,8 @@ def write_token_files(
 def read_token_files(manifest: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
     """``(id, start, n_tokens, ids)`` per document, from the files; ``start`` counts the ids of all documents before.
 
-    ``ids`` are packed as little-endian unsigned 32-bit integers.
+    ``ids`` are packed as little-endian unsigned 32-bit integers.  An empty
+    manifest gives no rows.
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # a row per file, not per document

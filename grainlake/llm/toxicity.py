@@ -220,8 +220,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from at most ``TEXTS`` texts of either label, taken in order of a hash of their id.
 
     Ids labelled both ways count as toxic; null ids and labels are left out; of
-    several texts with one id the first in order is learned from.  None if a
-    label is missing altogether; nothing is then toxic.
+    several texts with one id the first in order is learned from.  Of each toxic
+    text the ``CANDIDATES`` first words that no harmless text has are looked at,
+    and ``HARMLESS`` words of harmless texts, by order of a hash; other words of
+    the sample are not learned from.  None if a label is missing altogether;
+    nothing is then toxic.
     """
     given = labels.where(F.col(id_col).isNotNull() & F.col(toxic_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(toxic_col).alias("toxic"))
     chosen = given.where("toxic = 1").orderBy(F.xxhash64("id"), "id").limit(TEXTS).union(given.where("toxic = 0").orderBy(F.xxhash64("id"), "id").limit(TEXTS))
