@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
@@ -83,6 +84,27 @@ def features_per_level(first: int, levels: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: (F.lit(first) * F.pow(F.lit(2.0), k)).cast("long"))
 
 
+def feature_map_size(edges: Sequence[Column], pools: Sequence[Sequence[int]], first: int, most: int, modalities: int, classes: int, convs: int = 2, deep_supervision: bool = False) -> Column:
+    """Numbers that an encoder and decoder hold for a patch with these edges: what its memory grows with.
+
+    ``pools`` has the factors by which each level shrinks the axes.  Features
+    double from ``first`` with each level, up to ``most``; a level holds ``convs``
+    maps on either side and one from the level below, the last one ``convs``;
+    with ``deep_supervision`` inner levels but the last two hold classes as well.
+    """
+    edges, held = list(edges), F.lit(0).cast("long")
+    for level in range(len(pools) + 1):
+        if level:
+            edges = [F.floor(e / f) for e, f in zip(edges, pools[level - 1])]
+        maps = (convs if level == len(pools) > 0 else 2 * convs + 1) * min(first << level, most)
+        if level == 0:
+            maps += modalities + classes
+        elif deep_supervision and level < len(pools) - 1:
+            maps += classes
+        held = held + maps * reduce(lambda a, b: a * b, edges, F.lit(1).cast("long"))
+    return held
+
+
 def flip(position: Column, size: Column, flipped: Column) -> Column:
     """A position along a flipped axis; flipping twice gives it back."""
     return F.when(flipped, size - 1 - position).otherwise(position)

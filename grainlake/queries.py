@@ -141,6 +141,29 @@ def one_hot(spark, d):
     return T.read(spark, d, "embeddings").select("vec_id", "label", F.array_join(S.one_hot(F.col("label") % 8, 8, ignore=7).cast("array<string>"), ",").alias("hot"))
 
 
+@query("SELECT event_id, CASE WHEN user_id % 5 < 2 THEN 0 ELSE value END AS v FROM events")
+def nan_values(spark, d):
+    """Missing numbers and those that are none become zero."""
+    broken = F.when(F.col("user_id") % 5 == 0, F.lit(float("nan"))).when(F.col("user_id") % 5 != 1, F.col("value"))
+    return T.read(spark, d, "events").select("event_id", S.nan_to_zero(broken).alias("v"))
+
+
+@query("SELECT p_partkey, list_transform(range(1 + p_size % 6), lambda k: CAST(8 * 2 ** k AS BIGINT))[-1] AS last, CAST(list_sum(list_transform(range(1 + p_size % 6), lambda k: CAST(8 * 2 ** k AS BIGINT))) AS BIGINT) AS total FROM part")
+def level_features(spark, d):
+    """Features of the levels of a network: the last level's, and of all."""
+    f = F.slice(S.features_per_level(8, 6), F.lit(1), 1 + F.col("p_size") % 6)
+    return T.read(spark, d, "part").select("p_partkey", F.element_at(f, -1).alias("last"), F.aggregate(f, F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
+
+
+@query("""WITH e AS (SELECT p_partkey, 32 + p_size % 40 AS a, 48 AS b, 16 + p_partkey % 9 AS c FROM part)
+SELECT p_partkey, CAST((5 * 30 + 4) * a * b * c + (5 * 60 + 3) * (a // 2) * (b // 2) * c + 5 * 120 * (a // 2 // 2) * (b // 2 // 2) * (c // 2) + 2 * 160 * (a // 2 // 2 // 2) * (b // 2 // 2 // 2) * (c // 2 // 2) AS BIGINT) AS held FROM e""")
+def network_memory(spark, d):
+    """What a network of three poolings holds for patches of different sizes."""
+    edges = [32 + F.col("p_size") % 40, F.lit(48), 16 + F.col("p_partkey") % 9]
+    held = S.feature_map_size(edges, ((2, 2, 1), (2, 2, 2), (2, 2, 2)), 30, 160, 1, 3, deep_supervision=True)
+    return T.read(spark, d, "part").select("p_partkey", held.alias("held"))
+
+
 # --- grids ---
 
 PART_AXES = """a AS (SELECT p_partkey AS volume_id, CAST(16 + p_size AS INT) AS nz, CAST(16 + p_size % 17 AS INT) AS ny, CAST(16 + p_partkey % 13 AS INT) AS nx FROM part)"""
@@ -281,6 +304,16 @@ def ensemble_mean(spark, d):
     return m.select("case_id", "d", *(F.round(F.col("probs")[i], 6).alias(f"p{i}") for i in range(3)))
 
 
+@query("""WITH f AS (SELECT vec_id % 20 AS case_id, d, [CAST(embedding[d + 1] AS DOUBLE), CAST(embedding[(d + 21) % 64 + 1] AS DOUBLE), CAST(embedding[(d + 42) % 64 + 1] AS DOUBLE)] AS q, vec_id % 3 + 1 AS w FROM embeddings, (SELECT unnest(range(64)) AS d)),
+s AS (SELECT case_id, d, sum(q[1] * w) AS a, sum(q[2] * w) AS b, sum(q[3] * w) AS c FROM f GROUP BY case_id, d)
+SELECT case_id, CAST(d AS INT) AS d, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, CASE WHEN c > 0.5 THEN 1 WHEN b > 0.5 THEN 3 WHEN a > 0.5 THEN 2 ELSE 0 END AS cls FROM s""")
+def region_sums(spark, d):
+    """Weighted sums of scores, and regions by thresholds on the sums as they are."""
+    folds = _scores(spark, d).select((F.col("vec_id") % 20).alias("case_id"), "d", F.col("q").alias("probs"), (F.col("vec_id") % 3 + 1).alias("weight"))
+    sums = overlap.classify(overlap.class_sums(folds, 3, ["case_id", "d"], F.col("weight")), (2, 3, 1), normalise=False)
+    return sums.select("case_id", "d", *(F.round(F.col("sums")[k], 6).alias(n) for k, n in enumerate("abc")), "cls")
+
+
 @query(f"""WITH {VOX}, {DIM}, f AS (SELECT unnest(range(8)) AS f),
 t AS (SELECT CASE WHEN f & 4 > 0 THEN nz - 1 - z ELSE z END AS z, CASE WHEN f & 2 > 0 THEN 39 - y ELSE y END AS y, CASE WHEN f & 1 > 0 THEN 39 - x ELSE x END AS x, v FROM vox, dim, f)
 SELECT CAST(z AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(avg(v), 6) AS v FROM t GROUP BY ALL""")
