@@ -25,7 +25,7 @@ from .common import chunks, materialise
 
 SEQUENCE = 2048
 ROWS = 64
-MAX_WORDS = 500_000
+MAX_WORDS = 1_000_000
 WORD_BYTES = 64
 
 
@@ -36,7 +36,7 @@ _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 
 class WordEncoder:
-    """A tokenizer that lower-cases and never reaches across ASCII white space, with bounded tables of words.
+    """A tokenizer that lower-cases and never reaches across ASCII white space, with a bounded table of words.
 
     A text with the start of a special token's string is encoded as a whole.
     """
@@ -48,8 +48,8 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.closes[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {b"": b""}
+        self.words: dict[bytes, bytes] = {b"": b""}
+        self.long: list[bytes] = []
 
     def _core(self, word: bytes) -> bytes:
         """The word without the symbols at its end, if what is before them still ends in a letter or digit once it is normalised.
@@ -68,7 +68,8 @@ class WordEncoder:
 
     def _together(self, words: list[bytes]) -> list[bytes]:
         """Words of letters alone, encoded as one text, which is cut where a word's last token is."""
-        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        coded = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+        ids = np.array(coded[0].ids, "<u4")
         ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
         if len(ends) != len(words):
             return self._tokenize(words)
@@ -79,39 +80,34 @@ class WordEncoder:
         coded = self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
         return [np.array(c.ids, "<u4").tobytes() for c in coded]
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        plain = [w for w in words if w[-1] in _ALNUM]
+    def _learn(self, words: list[bytes]) -> None:
+        """Puts words and their parts into the table."""
         cut = [(w, core, w[len(core) :]) for w in words if w[-1] not in _ALNUM for core in (self._core(w),)]
-        new = set(plain).union(x for _, core, tail in cut for x in (core, tail)).difference(self.parts)
-        letters = [x for x in new if x.isalpha() or not x.isascii() and x.decode().isalpha()]
-        others = list(new.difference(letters))
+        whole = [w for w in words if w[-1] in _ALNUM]
+        whole += {x for _, core, tail in cut for x in (core, tail)}.difference(self.words, whole)
+        letters = [x for x in whole if x.isalpha() or not x.isascii() and x.decode().isalpha()]
+        others = list(set(whole).difference(letters)) if len(letters) < len(whole) else []
         for group, coder in ((letters, self._together), (others, self._tokenize)):
             for at in range(0, len(group), 4096):
-                self.parts.update(zip(group[at : at + 4096], coder(group[at : at + 4096])))
-        find = self.parts.__getitem__
-        out = dict(zip(plain, map(find, plain)))
-        out.update((w, find(core) + find(tail)) for w, core, tail in cut)
-        if len(self.parts) > MAX_WORDS:
-            self.parts = {b"": b""}
-        else:
-            for part in new:
-                if len(part) > WORD_BYTES:
-                    del self.parts[part]
-        return out
+                self.words.update(zip(group[at : at + 4096], coder(group[at : at + 4096])))
+        find = self.words.__getitem__
+        self.words.update([(w, find(core) + find(tail)) for w, core, tail in cut if tail])
+        self.long += [x for x in whole if len(x) > WORD_BYTES]
+        self.long += [w for w, _, tail in cut if tail and len(w) > WORD_BYTES]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [None if b"<|" in t else t.translate(_LOWER).split() for t in texts]
         missing = set().union(*(w for w in split if w is not None)).difference(self.words)
-        self.words.update(self._learn(list(missing)))
+        self._learn(list(missing))
         find = self.words.__getitem__
         out = [self._tokenize([t])[0] if w is None else b"".join(map(find, w)) for t, w in zip(texts, split)]
         if len(self.words) > MAX_WORDS:
-            self.words.clear()
+            self.words = {b"": b""}
         else:
-            for word in missing:
-                if len(word) > WORD_BYTES:
-                    del self.words[word]
+            for word in self.long:
+                self.words.pop(word, None)
+        self.long.clear()
         return out
 
 
