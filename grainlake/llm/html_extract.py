@@ -42,31 +42,41 @@ CLOSES = {
 }
 
 # The classifier: words in class, id or role, elements, and weights.
-BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog search".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside menu dialog search".split())
 CONTENT_TAGS = frozenset("article main".split())
-BOILERPLATE_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|related|recommended|share|sharing|social|promo"
-    r"|promotion|ad|ads|advert|adverts|advertisement|sponsor|sponsored|banner|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|form"
-    r"|search|comments?|disqus|reply|replies|respond|pagination|pager|toolbar|copyright|legal|hidden|contentinfo|complementary)(?:$|[^a-z])"
+#: Words that tell by themselves, words that also name harmless containers, and words of articles.
+CLEAR = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar sidenav aside related recommended share sharing social promo promos promotion ad ads advert adverts advertisement sponsor"
+    " sponsored banner cookie cookies consent notice alert popup modal newsletter subscribe signup login comment comments disqus reply replies respond pagination pager toolbar"
+    " copyright hidden contentinfo complementary".split()
 )
-CONTENT_WORDS = re.compile(r"(?:^|[^a-z])(?:article|main|content|post|entry|story|body)(?:$|[^a-z])")
+VAGUE = {"header": -3.0, "form": -3.0, "search": -1.5, "legal": -1.5, "widget": -1.5}
+CONTENT_WORDS = frozenset("article main content post entry story body".split())
+#: What follows one of these in a name is what a container has beside it, not what it is.
+BESIDE = frozenset("has with without no".split())
+_PART = re.compile(r"[a-z]+")
 PROMOTION = re.compile(
     r"(?i)\b(?:advertisement|sponsored|promoted|buy now|shop now|order now|click here|subscribe|sign up|limited offer|special offer|free shipping|cookies"
     r"|all rights reserved|privacy policy|terms of (?:use|service))\b"
 )
+COMMENTARY = re.compile(r"(?i)\b(?:\d+ (?:comments?|replies|responses)|leave a (?:comment|reply)|log in to (?:comment|reply)|(?:says|wrote|replied|commented):|permalink|reply$)")
 WEIGHT = {
-    "content": 3.5,
-    "boilerplate": -4.5,
+    "content_tag": 4.5,
+    "content_word": 3.5,
+    "clear": -5.0,
+    "form": -3.0,
     "plain": -1.0,
+    "beside_the_article": -5.0,
     "per_100_chars": 1.0,
     "most_chars": 3.0,
     "paragraph": 1.0,
     "sentence": 0.5,
     "links": -3.0,
-    "links_in_content": -1.0,
     "promotion": -2.5,
-    "promotion_in_content": -0.5,
+    "commentary": -2.0,
 }
+#: Evidence beyond this is clear, and no evidence counts for more than the most; what an outer element says fades.
+SURE, MOST, FADE = 4.0, 6.0, 0.5
 SAME_PARENT, NEAR, FAR = 1.25, 0.3, 0.05
 SCALE = 1000
 
@@ -76,37 +86,62 @@ _ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role|hidden|style|aria-hidden)
 
 
 class Block:
-    """A piece of text of one block element; ``parent`` is the element's number and ``above`` those of its next two ancestors."""
+    """A piece of text of one block element; ``parent`` is the element's number, ``above`` those of its next two ancestors, ``evidence`` what elements around it say."""
 
-    __slots__ = ("above", "linked", "parent", "role", "tag", "text")
+    __slots__ = ("above", "evidence", "linked", "parent", "tag", "text")
 
-    def __init__(self, text: str, linked: int, parent: int, above: tuple[int, ...], role: int, tag: str):
-        self.text, self.linked, self.parent, self.above, self.role, self.tag = text, linked, parent, above, role, tag
+    def __init__(self, text: str, linked: int, parent: int, above: tuple[int, ...], evidence: float, tag: str):
+        self.text, self.linked, self.parent, self.above, self.evidence, self.tag = text, linked, parent, above, evidence, tag
 
 
-def _role(tag: str, attributes: str, inherited: int) -> int:
-    """1 in content, -1 in boilerplate, 0 unknown, from the nearest element that tells."""
-    named = ""
+def _of_name(name: str) -> float:
+    """Evidence of one class, id or role: a clear word decides, all others add up."""
+    total = 0.0
+    for part in _PART.findall(name):
+        if part in BESIDE:
+            break
+        if part in CLEAR:
+            return WEIGHT["clear"]
+        if part in CONTENT_WORDS:
+            total = max(total, 0.0) + WEIGHT["content_word"] if total <= 0 else total
+        else:
+            total += VAGUE.get(part, 0.0)
+    return total
+
+
+def _evidence(tag: str, attributes: str, outer: float) -> float:
+    """Log odds that text right inside an element is content, from the element and the evidence around it.
+
+    Clear boilerplate stays so whatever is around it.  Inside it, an article's
+    names weigh little; elsewhere they and vague names add to what the outer
+    elements say, which fades inwards.
+    """
+    names: set[str] = set()
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return -1
+            return -2 * MOST
         if name in ("class", "id", "role"):
-            named += f" {value} "
-    if tag in BOILERPLATE_TAGS:
-        return -1
-    if named:
-        bad, good = BOILERPLATE_WORDS.search(named), CONTENT_WORDS.search(named)
-        # "main-content with-sidebar" is content, "comment-body" is not
-        if bad and not (good and good.start() < bad.start()):
-            return -1
-        if good and tag != "body":
-            return max(inherited, 0) or (1 if inherited == 0 else -1)
-    if tag == "header":
-        return inherited or -1
-    if tag in CONTENT_TAGS:
-        return inherited or 1
-    return inherited
+            names.update(value.split())
+    if tag in ("html", "body"):
+        return outer
+    said = [_of_name(x) for x in sorted(names)]
+    if tag in BOILERPLATE_TAGS or tag == "header" and outer <= 0:
+        return min(outer, WEIGHT["clear"])
+    own = WEIGHT["form"] if tag == "form" else 0.0
+    clear = WEIGHT["clear"] in said
+    if clear and not any(x > 0 for x in said):
+        return min(outer, WEIGHT["clear"])
+    own += min(WEIGHT["content_word"], sum(x for x in said if x > 0)) + sum(x for x in said if x < 0)
+    if tag in CONTENT_TAGS and not clear:
+        own += WEIGHT["content_tag"]
+    if not own:
+        return outer
+    if outer <= -SURE:
+        # a part of boilerplate may call itself content, but a page has one main element, which is in none
+        return own if tag == "main" else min(-SURE, outer + max(0.0, own) * FADE)
+    fades = FADE if outer > 0 or own <= 0 else 1.0
+    return max(-MOST, min(MOST, own + fades * outer))
 
 
 def blocks(html: str) -> list[Block]:
@@ -117,7 +152,7 @@ def blocks(html: str) -> list[Block]:
     ``>`` after it is text.
     """
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]
+    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]
     count, links, run, linked = 1, 0, [], 0
     open_now: Counter = Counter()
     endless, quotes = set(), True
@@ -126,8 +161,8 @@ def blocks(html: str) -> list[Block]:
         nonlocal run, linked
         text = " ".join(unescape("".join(run)).split()) if run else ""
         if text:
-            tag, number, role = stack[-1]
-            out.append(Block(text, linked, number, tuple(x[1] for x in stack[-3:-1][::-1]), role, tag))
+            tag, number, evidence = stack[-1]
+            out.append(Block(text, linked, number, tuple(x[1] for x in stack[-3:-1][::-1]), evidence, tag))
         run, linked = [], 0
 
     def cut(k: int) -> None:
@@ -210,33 +245,43 @@ def blocks(html: str) -> list[Block]:
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag not in VOID and not (attributes.endswith("/") and tag not in CLOSES_P):
-            stack.append((tag, count, _role(tag, attributes, stack[-1][2])))
+            stack.append((tag, count, _evidence(tag, attributes, stack[-1][2])))
             open_now[tag] += 1
             count += 1
     flush()
     return out
 
 
-def costs(b: Block) -> tuple[int, int]:
+def costs(b: Block, beside: bool = False) -> tuple[int, int]:
     """Capacities of a block's edges from the source and to the sink.
 
-    The log odds add up what the element, its class names, the block's length,
-    links and words say; each alone may be wrong, and the cut weighs it against
-    the block's neighbours.
+    The log odds add up what the elements around, the block's length, links
+    and words say; each alone may be wrong, and the cut weighs it against the
+    block's neighbours.  Within an article links and words count for less, within clear
+    boilerplate length does.  ``beside`` tells that named elements hold most of
+    the page's text, so that text outside of them is less likely part of it.
     """
-    density, promoted = b.linked / max(1, len(b.text)), min(2, len(PROMOTION.findall(b.text)))
+    e = b.evidence
+    against = WEIGHT["links"] * b.linked / max(1, len(b.text)) + WEIGHT["promotion"] * min(2, len(PROMOTION.findall(b.text)))
+    against += WEIGHT["commentary"] * min(2, len(COMMENTARY.findall(b.text)))
     length = min(WEIGHT["most_chars"], WEIGHT["per_100_chars"] * len(b.text) / 100)
-    if b.role > 0:
-        z = WEIGHT["content"] + WEIGHT["links_in_content"] * density + WEIGHT["promotion_in_content"] * promoted
-    elif b.role < 0:
-        z = WEIGHT["boilerplate"] + length / 3 + WEIGHT["links"] * density
-    else:
-        z = WEIGHT["plain"] + length + WEIGHT["links"] * density + WEIGHT["promotion"] * promoted
-        z += WEIGHT["paragraph"] * (b.tag in ("p", "blockquote", "pre")) + WEIGHT["sentence"] * (b.text[-1:] in ".!?")
+    z = e + WEIGHT["plain"] + length * (1 / 3 if e <= -SURE else 1) + against / (1 + max(0.0, e))
+    z += WEIGHT["paragraph"] * (b.tag in ("p", "blockquote", "pre")) + WEIGHT["sentence"] * (b.text[-1:] in ".!?")
+    if beside and e <= 0:
+        z += WEIGHT["beside_the_article"]
     soft = math.log1p(math.exp(-abs(z)))
     return int(SCALE * (max(z, 0) + soft)), int(SCALE * (max(-z, 0) + soft))
 
 
+def _named(bs: list[Block]) -> bool:
+    """Do elements that say they are content hold most of the text that is no clear boilerplate."""
+    size = [0, 0]
+    for b in bs:
+        if b.evidence > -SURE:
+            size[b.evidence >= 3] += len(b.text)
+    return size[1] > size[0]
+
+
 def _close_by(a: Block, b: Block) -> bool:
     """Are the elements of two blocks at most two steps apart in the tree."""
     over_a, over_b = (a.parent, *a.above), (b.parent, *b.above)
@@ -309,7 +354,8 @@ def minimum_cut(terminals: list[tuple[int, int]], edges: list[tuple[int, int, in
 def main_text(html: str) -> str:
     """The page's main text, its blocks joined by newlines; empty if there is none."""
     bs = blocks(html)
-    keep = minimum_cut([costs(b) for b in bs], _neighbours(bs))
+    beside = _named(bs)
+    keep = minimum_cut([costs(b, beside) for b in bs], _neighbours(bs))
     return "\n".join(b.text for b, k in zip(bs, keep) if k)
 
 

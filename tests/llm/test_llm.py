@@ -280,6 +280,28 @@ def test_cut_repairs_misjudged_blocks():
     assert main_text("<div><h2>Menu</h2></div><div><a href=x>Home</a></div>") == ""
 
 
+def test_evidence_of_all_elements_around_adds_up():
+    text = "Some words of a story that goes on for quite a while, and says this and that."
+    long = " ".join([text] * 4)
+    pages = {
+        f"<body><form id='aspnetForm'><div class='article'><h1>Head</h1><p>{text}</p></div><div class='footer'>foot</div></form>": ["Head", text],
+        f"<article class='legal'><h1>Head</h1><p>{text}</p></article>": ["Head", text],
+        f"<main><div class='search-results'><h2>Head</h2><p>{text}</p></div></main>": ["Head", text],
+        f"<article><p>{text}</p><div class='side-by-side'><p>Left text</p><p>Right.</p></div></article>": [text, "Left text", "Right."],
+        f"<article><p>{text}</p><div class='story-promo'><p>{long}</p></div></article>": [text],
+        f"<article><h1>A</h1><p>{long}</p><p>{long}</p></article><div><p>Nice post, I liked it.</p></div><div><p>{long}</p></div>": ["A", long, long],
+        f"<article><h1>A</h1><p>{long}</p></article><div><h3>2 comments</h3><div><b>Bob says:</b> {text}</div></div>": ["A", long],
+        f"<article><p>{text}</p><div class='comments'><div class='comment-body'><p>{long}</p></div></div><form><p>Your email</p></form><div class='entry-content'>kept</div></article>": [text, "kept"],
+        f"<div class='ad'><div class='content'><p>{long}</p></div></div><div class='post'><p>x</p></div>": ["x"],
+        f"<body class='nav-open has-sidebar'><div class='main-content with-sidebar'><h1>A</h1><p>{text}</p></div><aside><article><p>{long}</p></article></aside>": ["A", text],
+        f"<div class='sidebar-layout'><main><h1>A</h1><p>{text}</p></main><p>{text}</p></div>": ["A", text],
+        f"<article><p>{text}</p><p>Their privacy policy asks to <a href=x>subscribe</a></p><ul><li><a href=y>A link</a></ul></article>": [text, "Their privacy policy asks to subscribe", "A link"],
+        f"<article hidden><p>{long}</p></article><p>{text}</p>": [text],
+    }
+    for page, want in pages.items():
+        assert main_text(page).split("\n") == want, page
+
+
 def test_long_and_broken_markup_takes_little_time():
     began = time.monotonic()
     for hard in ("<a " * 350_000, "<a '\"" * 200_000, "<svg>" * 100_000, "<div>x" * 20_000, "<ul>" + "<li>a" * 20_000, "<x>" * 20_000 + "<p>a" * 20_000, "<p>" + "<b " * 100_000 + ">"):
