@@ -2,7 +2,9 @@
 
 Only headers are shuffled by payload digest.  Of equal payloads the record with
 the smallest id stays a response; the others become revisit records that refer
-to it and carry fresh headers but no payload.  Archives are written by Spark's
+to it and carry fresh headers but no payload.  The list of revisits meets the
+records by their ids: where it is too large to be broadcast, records are dealt
+by id, so a payload that very many records share is spread like any other.  Archives are written by Spark's
 own text writer, whose record separator is that of the WARC format, so they go
 to any store that Spark writes, under its commit protocol.
 """
@@ -24,6 +26,7 @@ END = "\r\n\r\n"
 #: Payloads of fewer bytes are never replaced by a revisit.
 LEAST_BYTES = 100
 RECORDS_PER_FILE = 1000
+SALTS = 64
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:x-page:"
 
@@ -39,6 +42,23 @@ def resolve(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return of.agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
 
 
+def revisits(headers: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``(id, key, first, salt)``: the records that ``firsts`` makes revisits, once each; ``key`` is the digest's bytes.
+
+    A null id is listed once for each of ``SALTS``, among which ``salt_of``
+    spreads the records without an id.
+    """
+    again = headers.join(firsts, "digest").where(~F.col("id").eqNullSafe(F.col("first")))
+    again = again.select("id", F.unhex("digest").alias("key"), "first").distinct()
+    salts = F.when(F.col("id").isNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return again.withColumn("salt", F.explode(salts))
+
+
+def salt_of(record_id: Column, url: Column) -> Column:
+    """Spreads records without an id by their urls; 0 for all others."""
+    return F.when(record_id.isNull(), F.pmod(F.xxhash64(url), F.lit(SALTS))).otherwise(0).cast("int")
+
+
 def _line(name: str, value: Column) -> Column:
     """A header line, or nothing where the value is null; line breaks in values are percent-encoded."""
     clean = F.replace(F.replace(value.cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -63,9 +83,12 @@ def write_warc(
     text = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text.alias("payload"))
     rows = rows.select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    firsts = materialise(resolve(rows.select("id", "digest", "payload_bytes"), least_bytes), "warc-firsts")
-    rows = rows.join(firsts, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    headers = materialise(rows.select("id", "digest", "payload_bytes"), "warc-headers")
+    again = materialise(revisits(headers, resolve(headers, least_bytes)), "warc-revisits")
+    again = again.withColumnRenamed("id", "of")
+    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("salt") == salt_of(F.col("id"), F.col("url"))) & (F.unhex("digest") == F.col("key"))
+    rows = rows.join(again, same, "left")
+    revisit = F.col("first").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "),

@@ -252,6 +252,31 @@ def test_warc(spark, tmp_path):
     assert full["urn:x-page:5"] == big.encode()
 
 
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_warc_revisits_against_brute_force(spark, tmp_path, limit):
+    rng = random.Random(12)
+    payloads = ["a" * 120, "b" * 100, "c" * 99, "d" * 300, "", None]
+    rows = [(rng.choice([None, *range(12)]), rng.choice([None, "u", "v", "w"]), rng.choice(payloads)) for _ in range(150)]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, id int")
+    first = {}
+    for k, _, html in rows:
+        if k is not None and len(html or "") >= 100:
+            first[html] = min(k, first.get(html, k))
+    want = [(k, u, hashlib.sha256((h or "").encode()).hexdigest(), None if first.get(h, k) == k else first[h]) for k, u, h in rows]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        path = f"file://{tmp_path}/w{limit}"
+        warc.write_warc(table, path)
+        warc.write_warc(table.where("false"), path + "none")
+        assert warc.read_warc(spark, path + "none").count() == 0
+        got = [(k and int(k), r.url, r.payload_digest, to and int(to), r.record_type) for r in warc.read_warc(spark, path).collect() for k, to in [(r.record_id.removeprefix(warc.URN) or None, r.refers_to and r.refers_to.removeprefix(warc.URN))]]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all((kind == "revisit") == (to is not None) for *_, to, kind in got)
+    assert sorted(map(str, (x[:4] for x in got))) == sorted(map(str, want))
+
+
 def test_minimum_cut_against_all_labellings():
     rng = random.Random(8)
     for _ in range(60):
