@@ -44,6 +44,7 @@ CLOSES = {
 # The classifier: words in class, id or role, elements, and weights.
 BOILERPLATE_TAGS = frozenset("nav footer aside menu dialog search".split())
 CONTENT_TAGS = frozenset("article main".split())
+TELLING = BOILERPLATE_TAGS | CONTENT_TAGS | {"form", "header"}
 #: Words that tell by themselves, words that also name harmless containers, and words of articles.
 CLEAR = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar sidenav aside related recommended share sharing social promo promos promotion ad ads advert adverts advertisement sponsor"
@@ -75,8 +76,8 @@ WEIGHT = {
     "promotion": -2.5,
     "commentary": -2.0,
 }
-#: Evidence beyond this is clear, and no evidence counts for more than the most; what an outer element says fades.
-SURE, MOST, FADE = 4.0, 6.0, 0.5
+#: Evidence beyond this is that of an article, or clear boilerplate; none counts for more than the most; what an outer element says fades.
+NAMED, SURE, MOST, FADE = 3.0, 4.0, 6.0, 0.5
 SAME_PARENT, NEAR, FAR = 1.25, 0.3, 0.05
 SCALE = 1000
 
@@ -116,6 +117,8 @@ def _evidence(tag: str, attributes: str, outer: float) -> float:
     names weigh little; elsewhere they and vague names add to what the outer
     elements say, which fades inwards.
     """
+    if not attributes and tag not in TELLING:
+        return outer
     names: set[str] = set()
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
@@ -263,7 +266,9 @@ def costs(b: Block, beside: bool = False) -> tuple[int, int]:
     """
     e = b.evidence
     against = WEIGHT["links"] * b.linked / max(1, len(b.text)) + WEIGHT["promotion"] * min(2, len(PROMOTION.findall(b.text)))
-    against += WEIGHT["commentary"] * min(2, len(COMMENTARY.findall(b.text)))
+    if e < NAMED:
+        # an article may well report what somebody wrote
+        against += WEIGHT["commentary"] * min(2, len(COMMENTARY.findall(b.text)))
     length = min(WEIGHT["most_chars"], WEIGHT["per_100_chars"] * len(b.text) / 100)
     z = e + WEIGHT["plain"] + length * (1 / 3 if e <= -SURE else 1) + against / (1 + max(0.0, e))
     z += WEIGHT["paragraph"] * (b.tag in ("p", "blockquote", "pre")) + WEIGHT["sentence"] * (b.text[-1:] in ".!?")
@@ -278,7 +283,7 @@ def _named(bs: list[Block]) -> bool:
     size = [0, 0]
     for b in bs:
         if b.evidence > -SURE:
-            size[b.evidence >= 3] += len(b.text)
+            size[b.evidence >= NAMED] += len(b.text)
     return size[1] > size[0]
 
 
