@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -14,13 +14,6 @@ def standardize(v: Column, mean: float, std: float) -> Column:
     return (v - F.lit(float(mean))) / F.lit(float(std))
 
 
-def min_max(v: Column, by: Sequence[str], constant: float | None = 0.0) -> Column:
-    """Values scaled to 0..1 within each group of ``by``; ``constant`` where all values of a group are equal."""
-    w = Window.partitionBy(*by)
-    low, high = F.min(v).over(w), F.max(v).over(w)
-    return F.when(high == low, F.lit(constant)).otherwise((v - low) / (high - low))
-
-
 def nan_to_zero(v: Column) -> Column:
     return F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))
 

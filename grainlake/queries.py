@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import distance, grid, growth, overlap, particles, predict, resample
+from .operators import distance, grid, growth, overlap, particles, predict, resample, scaling
 from .operators.grid import AXES
 from .plans import segment, tiled, zoom
 from .sources import blocks, files, metadata, nifti, tiff
@@ -97,17 +97,14 @@ def volume_statistics(spark, d):
 SELECT z, y, x, round(CASE WHEN a = b THEN 0 ELSE (v - a) / (b - a) END, 9) AS v FROM evx JOIN m USING (z)""")
 def slice_normalize(spark, d):
     vox = T.voxels_of_events(T.read(spark, d, "events"))
-    return _plain(vox.withColumn("v", F.round(S.min_max(F.col("v"), ["volume_id", "z"]), 9)))
+    return _plain(scaling.min_max(vox, ["volume_id", "z"]).withColumn("v", F.round("v", 9)))
 
 
 @query(f"""WITH {VOX}, m AS (SELECT min(v) AS a, max(v) AS b FROM vox)
 SELECT z, y, x, round(CASE WHEN a = b THEN 0 ELSE (v - a) / (b - a) END, 9) AS v FROM vox, m""")
 def minmax(spark, d):
-    vox = _voxels(spark, d)
-    # a row per volume: bounds come from an aggregate, so no window gathers a volume in one task
-    bounds = vox.groupBy("volume_id").agg(F.min("v").alias("a"), F.max("v").alias("b"))
-    scaled = F.when(F.col("a") == F.col("b"), 0.0).otherwise((F.col("v") - F.col("a")) / (F.col("b") - F.col("a")))
-    return _plain(vox.join(bounds, "volume_id").withColumn("v", F.round(scaled, 9)).drop("a", "b"))
+    scaled = scaling.min_max(_voxels(spark, d))
+    return _plain(scaled.withColumn("v", F.round("v", 9)))
 
 
 @query("""WITH m AS (SELECT p_partkey AS volume_id, p_size / CAST(1000 AS DOUBLE) AS spacing, p_retailprice / CAST(1000 AS DOUBLE) AS particle_size FROM part),
@@ -319,11 +316,7 @@ t AS (SELECT CASE WHEN f & 4 > 0 THEN nz - 1 - z ELSE z END AS z, CASE WHEN f &
 SELECT CAST(z AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(avg(v), 6) AS v FROM t GROUP BY ALL""")
 def tta_mean(spark, d):
     """The mean over the eight flips of the volume."""
-    shape = _shape(spark, d)
-    flips = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    t = _voxels(spark, d).select("*", flips.alias("f"))
-    turned = [S.flip(F.col(a), F.lit(n), F.col("f").bitwiseAND(bit) > 0).alias(a) for a, n, bit in zip(AXES, shape, (4, 2, 1))]
-    return t.select(*turned, "v").groupBy(*AXES).agg(F.round(F.avg("v"), 6).alias("v"))
+    return _plain(overlap.flip_mean(_voxels(spark, d), _shape(spark, d)).withColumn("v", F.round("v", 6)))
 
 
 def stencil(fold: int):

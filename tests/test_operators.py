@@ -91,3 +91,15 @@ def test_sizes_are_checked(spark):
     row = {"volume_id": 1} | {f"{k}_{a}": v for a in "zyx" for k, v in (("n", 4), ("p", 8), ("s", 4))}
     with pytest.raises(Exception, match="larger than its volume"):
         grid.patch_grid(grid.check_sizes(spark.createDataFrame([row]))).collect()
+
+
+def test_min_max_of_hard_groups(spark):
+    from grainlake.operators.scaling import min_max
+
+    rows = [("a", 0, 1.0), ("a", 1, 3.0), ("a", 2, 2.0), ("a", 3, None), ("b", 0, 5.0), ("b", 1, 5.0), (None, 0, 0.0), (None, 1, 4.0), ("c", 0, None)]
+    table = spark.createDataFrame(rows, "volume_id string, _low int, v double")
+    got = min_max(table.withColumnRenamed("_low", "low"))
+    assert got.columns == ["volume_id", "low", "v"]
+    want = [("a", 0, 0.0), ("a", 1, 1.0), ("a", 2, 0.5), ("a", 3, None), ("b", 0, 0.0), ("b", 1, 0.0), (None, 0, 0.0), (None, 1, 1.0), ("c", 0, None)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert min_max(table.withColumnRenamed("_low", "low").where("false")).count() == 0
