@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, Words, chunks, keep_rows, materialise, mix64, text_bytes
 
 BUCKETS = 1 << 16
-#: The target and the threshold are fitted on at most so many labelled rows.
-LABELLED = 20_000
+#: The threshold lies on or between multiples of 1 / GRID, so that the labelled rows are summed by Spark before it is chosen.
+GRID = 1 << 14
 #: Where no row is labelled 0, this share of the trusted rows falls below the threshold.
 LOST = 0.002
 SYMBOLS = b"#*$%&|<>"
@@ -157,29 +157,28 @@ def measure(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id",
     return source.mapInArrow(run, f"id {kind}, {schema}")
 
 
-def _cut(llr: np.ndarray, good: np.ndarray) -> float:
-    """The middle of the gap that parts the two labels with the fewest mistakes.
+def _cut(step: np.ndarray, good: np.ndarray, poor: np.ndarray) -> float:
+    """The middle of the gap that parts the two labels with the fewest mistakes, of equals the lowest of the widest.
 
-    Without rows labelled 0, ``LOST`` of the trusted rows fall below it.
+    ``step``: ascending multiples of 1 / ``GRID`` that log ratios were rounded
+    down to, ``good`` and ``poor``: how many rows of either label each has.
+    Without rows labelled 0, at most ``LOST`` of the trusted rows fall below it.
     """
-    order = np.argsort(llr, kind="stable")
-    llr, good = llr[order], good[order]
-    if good.all():
-        return float(np.quantile(llr, LOST)) if len(llr) else -np.inf
-    if not good.any():
+    if not poor.sum():
+        return float(step[np.searchsorted(np.cumsum(good), LOST * good.sum(), "right")]) / GRID if len(step) else -np.inf
+    if not good.sum():
         return np.inf
-    mistakes = np.r_[0, np.cumsum(good)] + (~good).sum() - np.r_[0, np.cumsum(~good)]
-    edges = np.r_[llr[0] - 1, (llr[1:] + llr[:-1]) / 2, llr[-1] + 1]
-    gap = np.r_[1, llr[1:] - llr[:-1], 1]
+    mistakes = np.r_[0, np.cumsum(good)] + poor.sum() - np.r_[0, np.cumsum(poor)]
+    low, high = np.r_[step[0] - GRID, step + 1], np.r_[step, step[-1] + GRID]
     best = np.flatnonzero(mistakes == mistakes.min())
-    return float(edges[best[np.argmax(gap[best])]])
+    best = best[np.argmax((high - low)[best])]
+    return float(low[best] + high[best]) / (2 * GRID)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality") -> QualityModel | None:
-    """Raw counts over all documents, target counts and threshold from at most ``LABELLED`` labelled rows.
+    """Raw counts over all documents, target counts and threshold from all labelled rows.
 
-    The labelled rows are taken in order of a hash of their id; those labelled
-    1 are the trusted target.  The threshold is fitted on those of either label
+    Rows labelled 1 are the trusted target.  The threshold is fitted on those of either label
     that pass the plain rules, each trusted text's own n-grams taken out, so
     that it holds for texts that are not among the labelled ones.  Ids labelled both ways count as labelled 0,
     null ids and labels are left out, and of several texts with one id the
@@ -188,16 +187,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     raw = np.zeros(BUCKETS)
     for bucket, n in ngram_counts(docs, text_col).collect():
         raw[bucket] = n
-    chosen = (
-        labels.where(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull())
-        .groupBy(F.col(id_col).alias("id"))
-        .agg(F.min(quality_col).alias("quality"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(LABELLED)
-    )
+    label = labels.where(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(quality_col).alias("quality"))
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # one row for each id, its first text in order: repeated rows of a document would only repeat its weight
-    labelled = materialise(text.join(F.broadcast(chosen), "id").groupBy("id", "quality").agg(F.min("text").alias("text")).select("id", "text", "quality"), "labelled")
+    # ids alone are counted first, so that texts are grouped for repeated ids only, whose rows would repeat a document's weight
+    label = materialise(text.groupBy("id").agg(F.count("*").alias("times")).join(label, "id"), "labels")
+    once = text.join(label.where("times = 1"), "id").select("id", "text", "quality")
+    many = label.where("times > 1")
+    if not many.isEmpty():
+        once = once.unionByName(text.join(many, "id").groupBy("id", "quality").agg(F.min("text").alias("text")))
+    labelled = materialise(once, "labelled")
     target = np.zeros(BUCKETS)
     for bucket, n in ngram_counts(labelled.where("quality = 1")).collect():
         target[bucket] = n
@@ -223,8 +221,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 each = np.log((rest + 1) / (total + BUCKETS)) - np.log((raw[own] + 1) / (raw.sum() + BUCKETS))
                 llr[k] = (each * times).sum() / times.sum()
             keep = np.flatnonzero(~failed)
-            yield pa.RecordBatch.from_arrays([pa.array(llr[keep]), pa.array(trusted[keep])], ["llr", "good"])
+            step = np.floor(np.round(llr[keep], 9) * GRID).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(trusted[keep].astype(np.int64))], ["step", "good"])
 
-    passed = labelled.select("id", "text", "quality").mapInArrow(held_out, "llr double, good boolean").toPandas()
-    model.threshold = _cut(passed.llr.to_numpy(float), passed.good.to_numpy(bool))
+    passed = labelled.select("id", "text", "quality").mapInArrow(held_out, "step long, good long")
+    passed = passed.groupBy("step").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("poor")).orderBy("step").toPandas()
+    model.threshold = _cut(*(passed[c].to_numpy(np.int64) for c in ("step", "good", "poor")))
     return model

@@ -341,3 +341,31 @@ def test_extract_of_hard_rows(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, id string")).collect()
     assert sorted((str(r.id), len(r.text)) for r in got) == [("1", 0), ("1", 0), ("2", 8), ("None", 219_999)]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_quality_learns_from_all_labelled_rows(spark):
+    # every text is labelled 1, so that the target is the raw corpus and no n-gram tells them apart
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.format_string("w%d common", "id").alias("text"))
+    model = quality.fit(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    assert not model.ratio.any()
+
+
+def test_quality_threshold_against_all_cuts(spark):
+    rng = random.Random(8)
+    word = lambda k: "abcdefghij"[rng.randrange(10 - k) + k] + str(rng.randrange(9))
+    rows = [(i, " ".join(word(5 * (i % 3 == 0)) for _ in range(60)), int(i % 3 != 0)) for i in range(90)]
+    rows += [(i, text, good) for i, text, good in rows[:4]] + [(90, None, 1), (91, rows[1][1], None), (None, rows[1][1], 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(table.select("doc_id", "text"), table.select("doc_id", "quality"))
+    llr = {r.id: r.llr for r in quality.measure(table.select("doc_id", "text"), model).collect()}
+    # the threshold is fitted on texts taken out of the target, which lowers the trusted ones a little
+    assert max(llr[i] for i in range(0, 90, 3)) < model.threshold < min(llr[i] for i in range(90) if i % 3)
+    for _ in range(200):
+        step = np.unique(np.array([rng.randrange(-40, 40) for _ in range(rng.randrange(1, 12))]))
+        good, poor = (np.array([rng.randrange(3) for _ in step]) for _ in "gp")
+        cut = quality._cut(step, good, poor)
+        if good.sum() and poor.sum():
+            wrong = lambda t: good[step / quality.GRID < t].sum() + poor[step / quality.GRID >= t].sum()
+            assert wrong(cut) == min(wrong((s + d) / quality.GRID) for s in step for d in (0, 1))
+        elif good.sum():
+            assert good[step / quality.GRID < cut].sum() <= quality.LOST * good.sum()
