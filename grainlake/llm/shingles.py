@@ -1,15 +1,20 @@
-"""Near-duplicates by an exact bound on the Jaccard similarity of their word shingles.
-
-A radius of SimHash bits that holds all pairs of similarity 0.8 leaves a tree
-of vantage points nothing to cut, so the pairs are proposed by their shingles:
-in any order of all shingles, two sets of similarity s or more share one among
-the first n - ceil(s n) + 1 shingles of each.  Frequent shingles come late in
-the order, which is taken from a sample and affects the work only.  Each
-proposed pair is checked by its sets.  Of a shingle's holders, those a few
-fixed steps apart in the order of size are checked first, then those a few
-steps apart across the components this gave, both in proportion to their
-number, which links the members of a large group of near copies; then all
-pairs that are not yet linked.
+"""Near-duplicates by SimHash, and by an exact bound on the Jaccard similarity of their word shingles.
+
+Documents are linked in steps, each of which proposes pairs of those that are
+not linked yet; each proposed pair is checked by its sets of shingles.
+
+1. SimHash fingerprints a few bits apart are found in trees of vantage points
+   (``simhash``).  A radius that holds all pairs of similarity 0.8 leaves such a
+   tree nothing to cut, so this links the closest copies, and what it misses is
+   left to the bound.
+2. In any order of all shingles, two sets of similarity s or more share one
+   among the first n - ceil(s n) + 1 shingles of each.  Frequent shingles come
+   late in the order; how frequent they are is counted over all sets, by a part
+   of their hash, and affects the work only.  Of a shingle's holders, those a
+   few fixed steps apart in the order of size are checked first, then those a
+   few steps apart across the components this gave, both in proportion to their
+   number, which links the members of a large group of near copies.
+3. Then all pairs that share such a shingle and are not yet linked.
 """
 
 from __future__ import annotations
@@ -24,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import Words, chunks, materialise
-from .simhash import SEED
+from .common import Words, chunks, materialise, packed_counts, release, summed_counts
+from .simhash import SEED, fingerprint_links, majority
 
 #: The similarity wanted, as a fraction.
 LEAST = (4, 5)
-#: Sets, about, that the order is taken from, and shingles that it places last.
-SAMPLE, FREQUENT = 5_000, 500_000
+#: Bits of a shingle's hash by which its holders are counted.
+COUNTED = 22
 #: Prefix shingles wanted in a bucket; pairs compared at a time.
 BUCKET, PAIRS = 200_000, 1 << 18
 #: Of a shingle's holders in order of size, how far apart those are that are compared at first.
@@ -40,32 +45,50 @@ PARTS = 256
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``(id, key, shingles, counts)``: the distinct shingle hashes of every text, sorted, a hash of them all, and their numbers by part of the hash range.
+    """``(id, key, fp, shingles, counts)``: the distinct shingle hashes of every text, sorted, a hash of them all, and their numbers by part of the hash range.
 
-    Shingles are those of ``simhash``; a null or empty text has none.
+    Shingles and the fingerprint ``fp`` are those of ``simhash``; a null or empty text has none.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         digest = xxhash.xxh64_intdigest
         for b in chunks(batches, "text"):
             w = Words(b.column(1))
             data, starts, ends = w.spaced()
-            view, keys, sets, counts = memoryview(data), [], [], []
+            view, keys, sets, counts, hashes = memoryview(data), [], [], [], []
             for lo, hi in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist()):
                 n = max(1, hi - lo - width + 1) if hi > lo else 0
                 last = np.minimum(np.arange(lo, lo + n) + width, hi) - 1
                 h = np.fromiter((digest(view[s:e], SEED) for s, e in zip(starts[lo : lo + n].tolist(), ends[last].tolist())), np.uint64, n)
+                hashes.append(h)
                 sets.append(np.unique(h).view(np.int64))
                 keys.append(digest(sets[-1].tobytes(), SEED))
                 counts.append(np.bincount(sets[-1].view(np.uint64) >> np.uint64(56), minlength=PARTS).astype(np.int32))
+            fp = majority(np.concatenate(hashes), np.r_[0, np.cumsum([len(x) for x in hashes])])
             offsets = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
             numbers = pa.ListArray.from_arrays(pa.array(np.arange(0, PARTS * len(sets) + 1, PARTS, dtype=np.int32)), pa.array(np.concatenate(counts)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), lists, numbers], ["id", "key", "shingles", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(fp.view(np.int64)), lists, numbers], ["id", "key", "fp", "shingles", "counts"])
 
-    return source.mapInArrow(run, f"id {kind}, key long, shingles array<long>, counts array<int>")
+    return source.mapInArrow(run, f"id {kind}, key long, fp long, shingles array<long>, counts array<int>")
+
+
+def _holders(sets: DataFrame) -> np.ndarray:
+    """How many sets hold shingles with the same first ``COUNTED`` bits, by these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTED, np.int64)
+        for b in batches:
+            h = b.column(0).flatten().to_numpy().view(np.uint64)
+            for lo in range(0, len(h), 1 << 20):
+                np.add.at(total, h[lo : lo + (1 << 20)] >> np.uint64(64 - COUNTED), 1)
+        yield from packed_counts(total)
+
+    total = summed_counts(sets.select("shingles").mapInArrow(run, "block int, data binary"), 1 << COUNTED)
+    return np.minimum(total, 2**31 - 1).astype(np.int32)
 
 
 def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,7 +107,7 @@ def _prefixes(sets: DataFrame, parts: int, order) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         num, den = LEAST
-        known, often = order.value
+        held = order.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -94,9 +117,7 @@ def _prefixes(sets: DataFrame, parts: int, order) -> DataFrame:
                 if not len(h):
                     continue
                 doc = np.repeat(np.arange(len(n)), n)
-                slot = np.minimum(np.searchsorted(known, h), len(known) - 1) if len(known) else np.zeros(len(h), np.int64)
-                seen = np.where(known[slot] == h, often[slot], 0) if len(known) else slot
-                by = np.lexsort((h, seen, doc))
+                by = np.lexsort((h, held[h.view(np.uint64) >> np.uint64(64 - COUNTED)], doc))
                 place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                 first = place < (n - -(-num * n // den) + 1)[doc]
                 h, doc, place = h[by][first], doc[first], place[first]
@@ -192,6 +213,19 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _both(possible, sets, "shingles").where(common * (num + den) >= (F.size("a") + F.size("b")) * num).select("u", "v")
 
 
+def simhash_links(sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of similar sets whose fingerprints are equal or linked in the trees of vantage points; not every such pair.
+
+    The sets of one fingerprint meet the least of them, and those of linked fingerprints each other.
+    """
+    marked = materialise(sets.select("key", "fp").distinct(), "shingle-prints")
+    least = materialise(marked.groupBy("fp").agg(F.min("key").alias("least")), "shingle-prints")
+    linked = fingerprint_links(least.select("fp")).toDF("fp", "other")
+    linked = linked.join(least, "fp").select(F.col("least").alias("u"), F.col("other").alias("fp")).join(least, "fp").select("u", F.col("least").alias("v"))
+    pairs = marked.join(least, "fp").select(F.col("key").alias("u"), F.col("least").alias("v")).unionByName(linked)
+    return _similar(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), sets)
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """One row per document: ``(id, component_id)``.
 
@@ -202,14 +236,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     sets = materialise(shingle_sets(docs, id_col, text_col, width), "shingle-sets")
-    total, n_sets = sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0)), F.count("*")).first()
+    total = sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
     parts = max(12, total // (5 * BUCKET))
-    some = sets.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n_sets // SAMPLE))) == 0).select(F.explode("shingles").alias("h"))
-    some = some.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).orderBy("h").toPandas()
-    order = spark.sparkContext.broadcast((some["h"].to_numpy(np.int64), some["count"].to_numpy(np.int64)))
+    order = spark.sparkContext.broadcast(_holders(sets))
     found = _prefixes(sets, parts, order).groupBy("part").applyInPandas(_neighbours, "h long, u long, v long, n long, place long")
     found = materialise(found, "shingle-neighbours")
-    near = materialise(_similar(found.where("v is not null").select("u", "v").distinct(), sets), "shingle-links")
+    close = materialise(simhash_links(sets), "shingle-links")
+    star = connected_components(close, "shingle-stars").select("u", F.col("v").alias("root"))
+    root = lambda c: star.select(F.col("u").alias(c), F.col("root").alias(f"{c}_root"))
+    apart = found.where("v is not null").select("u", "v").distinct().join(root("u"), "u", "left").join(root("v"), "v", "left")
+    apart = apart.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+    near = close.unionByName(materialise(_similar(apart, sets), "shingle-links"))
     star = connected_components(near, "shingle-stars").select("u", F.col("v").alias("root"))
     held = found.where("v is null").drop("v")
     part = F.pmod("h", F.lit(parts)).alias("part")

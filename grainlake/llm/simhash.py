@@ -33,6 +33,23 @@ SHARD = 2048
 BLOCK = 512
 
 
+def majority(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """SimHash of each run ``begin[i]:begin[i + 1]`` of the hashes: bits set in over half of them, zero for an empty run."""
+    n_hash = np.diff(begin)
+    out = np.zeros(len(n_hash), np.uint64)
+    full = np.flatnonzero(n_hash)
+    if len(full):
+        ones = np.empty((len(full), 64), np.int64)
+        for part in range(0, len(full), 256):
+            at = full[part : part + 256]
+            lo, hi = begin[at[0]], begin[at[-1] + 1]
+            bits = np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[part : part + 256] = np.add.reduceat(bits, begin[at] - lo, axis=0, dtype=np.int32)
+        packed = np.packbits(2 * ones > n_hash[full, None], axis=1, bitorder="little")
+        out[full] = packed.view("<u8").ravel()
+    return out
+
+
 def _fingerprints(column: pa.Array, width: int) -> np.ndarray:
     """SimHash of each text of the column, as unsigned 64-bit integers."""
     w = Words(column)
@@ -46,18 +63,7 @@ def _fingerprints(column: pa.Array, width: int) -> np.ndarray:
     last = np.minimum(first + width, w.offsets[doc + 1]) - 1
     view, digest = memoryview(data), xxhash.xxh64_intdigest
     h = np.fromiter((digest(view[s:e], SEED) for s, e in zip(starts[first].tolist(), ends[last].tolist())), np.uint64, len(first))
-    out = np.zeros(len(n_hash), np.uint64)
-    full = np.flatnonzero(n_hash)
-    if len(full):
-        ones = np.empty((len(full), 64), np.int64)
-        for part in range(0, len(full), 256):
-            at = full[part : part + 256]
-            lo, hi = begin[at[0]], begin[at[-1] + 1]
-            bits = np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[part : part + 256] = np.add.reduceat(bits, begin[at] - lo, axis=0, dtype=np.int32)
-        packed = np.packbits(2 * ones > n_hash[full, None], axis=1, bitorder="little")
-        out[full] = packed.view("<u8").ravel()
-    return out
+    return majority(h, begin)
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:

@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from grainlake.llm import shingles
 
 
 def test_near_duplicate_stage_against_brute_force(spark):
@@ -30,6 +33,36 @@ def test_near_duplicate_stage_against_brute_force(spark):
     assert corpus_pipeline.remove_near_duplicates(spark, docs.where("false"), "").count() == 0
 
 
+def test_near_duplicate_stage_links_by_simhash(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        for at in (None, 0, 399, 200):
+            other = list(words)
+            if at is not None:
+                other[at] = "x"
+            texts.append(" ".join(other))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = shingles.shingle_sets(docs, "doc_id", "text", 5).localCheckpoint()
+    rows = sets.collect()
+    number, words = {r.key: r.id for r in rows}, [set(r.shingles) for r in sorted(rows)]
+    links = [(number[r.u], number[r.v]) for r in shingles.simhash_links(sets).collect()]
+    assert all(i // 4 == j // 4 and 5 * len(words[i] & words[j]) >= 4 * len(words[i] | words[j]) for i, j in links)
+    # with one word of 400 changed, pairs within two bits are found and linked
+    fp = {r.id: r.fp & (1 << 64) - 1 for r in rows}
+    close = {i for i in fp for j in fp if i != j and (fp[i] ^ fp[j]).bit_count() <= 2}
+    assert len(close) > 30 and close == {i for pair in links for i in pair}
+    assert shingles.simhash_links(sets.where("false")).count() == 0
+
+
+def test_order_of_shingles_counts_all_sets(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.format_string("a%d b c d e f", "id").alias("text"))
+    sets = shingles.shingle_sets(docs, "doc_id", "text", 5)
+    held = shingles._holders(sets)
+    assert held.sum() == 6000 and held.max() >= 3000
+
+
 def _tables(spark, folder, docs, labels, items):
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
