@@ -9,6 +9,9 @@ for its own text.  Null texts count as empty and an empty table passes through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,23 @@ from grainlake.llm.queries import token_pattern, tokenizer_path, training_labels
 from grainlake.llm.shingles import similar_documents
 
 
+#: Rows in a batch between Spark and Python workers: texts and their sets of shingles are long.
+BATCH = 1_000
+
+
+@contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of at most ``BATCH`` rows in what runs meanwhile; after that the session has its own setting again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = int(before)
+    spark.conf.set(name, str(min(rows, BATCH) if rows > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """``(key, text)``: a row's id, nulls last, with a hash of its text, which tells rows of one id apart."""
     return docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("mark")).alias("key"), "text")
@@ -50,6 +70,8 @@ def remove_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a five-word Jaccard similarity of 0.8 or more the one with the smallest id stays.
 
+    SimHash fingerprints in trees of vantage points propose the closest copies;
+    shared shingles then propose all other pairs that can be similar.
     Null ids come last, rows of one id in order of a hash of their text, and of
     rows with the same id and text any one stays.
     """
@@ -91,6 +113,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, "pipeline-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with _short_batches(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import KEPT, chunks
 
 #: Bounds of the tables that a worker keeps: a full table of pairs or pieces is emptied and filled anew.
 MAX_STATES = 30_000
@@ -213,6 +213,7 @@ def stream_decode(bytes_of: list[bytes], ids: np.ndarray) -> Iterator[str]:
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
+KEPT.append(_encoders)
 
 
 def encoder(path: str, pattern: str) -> Encoder:

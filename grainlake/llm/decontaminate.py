@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, chunks, materialise
+from .common import ALNUM, Words, chunks, materialise, release
 
 WINDOW = 13
 #: Words in an index block, test windows looked at together, and places proposed together.
@@ -95,6 +95,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         block, size = TaskContext.get().partitionId() << 24, 0
         state: tuple[list, ...] = ([], [], [], [], [])
         for b in chunks(batches, "text"):
