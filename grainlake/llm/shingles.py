@@ -11,10 +11,13 @@ not linked yet; each proposed pair is checked by its sets of shingles.
    among the first n - ceil(s n) + 1 shingles of each.  Frequent shingles come
    late in the order; how frequent they are is counted over all sets, by a part
    of their hash, and affects the work only.  Of a shingle's holders, those a
-   few fixed steps apart in the order of size are checked first, then those a
-   few steps apart across the components this gave, both in proportion to their
-   number, which links the members of a large group of near copies.
-3. Then all pairs that share such a shingle and are not yet linked.
+   few fixed steps apart in the order of size are checked first, in proportion
+   to their number.
+3. Then, in a mixed order of the holders, those of different components, in
+   rounds of twice the distance each.  A set that is like one in k of a large
+   group of near copies so finds a link after some k comparisons, however large
+   the group is.  The last round, once about as few pairs as sets are left, takes
+   all distances, so that no pair which shares such a shingle is left out.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ COUNTED = 22
 BUCKET, PAIRS = 200_000, 1 << 18
 #: Of a shingle's holders in order of size, how far apart those are that are compared at first.
 STEPS = (1, 2, 4, 9, 19, 41)
+#: Of the same in a mixed order, up to which distance unlinked ones are compared first, and a distance beyond all.
+NEAR, FAR = 6, 1 << 40
 #: Parts of the hash range that a set's shingles are counted in.
 PARTS = 256
 
@@ -154,38 +159,51 @@ def _neighbours(p: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([of_pairs, pd.DataFrame({"h": h[many], "u": u[many], "v": none, "n": n[many], "place": place[many]})])
 
 
-def _others(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All possible pairs of each shingle's sets that are not linked yet, some at a time."""
-    p = pd.concat(parts).sort_values(["h", "root", "u"])
-    h, u, root, n, place = (p[c].to_numpy(np.int64) for c in ("h", "u", "root", "n", "place"))
-    new = np.r_[True, h[1:] != h[:-1]]
-    starts, runs = np.flatnonzero(new), np.flatnonzero(new | np.r_[True, root[1:] != root[:-1]])
-    # a set's partners are those of its shingle behind its own component
-    behind = np.repeat(np.r_[runs[1:], len(h)], np.diff(np.r_[runs, len(h)]))
-    count = np.repeat(np.r_[starts[1:], len(h)], np.diff(np.r_[starts, len(h)])) - behind
-    upto, at = np.cumsum(count), 0
-    while at < len(h):
-        end = max(at + 1, int(np.searchsorted(upto, upto[at] - count[at] + PAIRS, "right")))
-        own = count[at:end]
-        i = np.repeat(np.arange(at, end), own)
-        j = behind[i] + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
-        keep = _possible(n, place, i, j)
-        pairs = np.unique(np.stack([np.maximum(u[i], u[j])[keep], np.minimum(u[i], u[j])[keep]], axis=1), axis=0)
-        if len(pairs):
-            yield pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
-        at = end
-
-
-def _across(p: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of each shingle's holders of different components, a few steps apart in an order that mixes components."""
-    p = p.assign(mixed=(p["u"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).sort_values(["h", "mixed"])
-    h, u, root, n, place = (p[c].to_numpy(np.int64) for c in ("h", "u", "root", "n", "place"))
-    ends = [np.zeros((0, 2), np.int64)]
-    for step in STEPS:
-        i = np.flatnonzero((h[step:] == h[:-step]) & (root[step:] != root[:-step]))
-        i = i[_possible(n, place, i, i + step)]
-        ends.append(np.stack([np.maximum(u[i], u[i + step]), np.minimum(u[i], u[i + step])], axis=1))
-    return pd.DataFrame(np.unique(np.concatenate(ends), axis=0), columns=["u", "v"])
+def _between(first: int, last: int):
+    """Pairs of a shingle's sets of different components, ``first`` to ``last - 1`` apart on a circle that mixes components, some at a time.
+
+    A pair's distance on the circle is the same each time, so that calls with
+    adjoining bounds find all possible pairs of sets that no link has joined
+    before.  Of two sets in different components one at least is outside of the
+    shingle's largest component; only such sets look for others, so that the
+    work does not grow with the square of that component.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = pd.concat(parts)
+        p = p.assign(mixed=p["u"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sort_values(["h", "mixed"])
+        h, u, root, n, place = (p[c].to_numpy(np.int64) for c in ("h", "u", "root", "n", "place"))
+        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        length = np.diff(np.r_[start, len(h)])
+        group = np.repeat(np.arange(len(start)), length)
+        by = np.lexsort((root, group))
+        runs = np.flatnonzero(np.r_[True, (group[by][1:] != group[by][:-1]) | (root[by][1:] != root[by][:-1])])
+        of_run, members = by[runs], np.diff(np.r_[runs, len(h)])
+        most = np.lexsort((members, group[of_run]))
+        most = most[np.r_[group[of_run][most][1:] != group[of_run][most][:-1], True]]
+        outside = root != root[of_run[most]][group]
+        rows = np.flatnonzero(outside)
+        count = np.maximum(0, np.minimum(last, length[group[rows]] // 2 + 1) - first)
+        rows, count = rows[count > 0], count[count > 0]
+        upto, at = np.cumsum(count), 0
+        while at < len(rows):
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] - count[at] + PAIRS, "right")))
+            own = count[at:end]
+            i = np.repeat(rows[at:end], own)
+            step = first + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+            begin, size = start[group[i]], length[group[i]]
+            ahead, back = begin + (i - begin + step) % size, begin + (i - begin - step) % size
+            once = ~outside[back]  # the others have it ahead of them
+            i, j = np.r_[i, i[once]], np.r_[ahead, back[once]]
+            keep = root[i] != root[j]
+            i, j = i[keep], j[keep]
+            keep = _possible(n, place, i, j)
+            pairs = np.unique(np.stack([np.maximum(u[i], u[j])[keep], np.minimum(u[i], u[j])[keep]], axis=1), axis=0)
+            if len(pairs):
+                yield pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+            at = end
+
+    return run
 
 
 def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -247,16 +265,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     apart = found.where("v is not null").select("u", "v").distinct().join(root("u"), "u", "left").join(root("v"), "v", "left")
     apart = apart.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
     near = close.unionByName(materialise(_similar(apart, sets), "shingle-links"))
-    star = connected_components(near, "shingle-stars").select("u", F.col("v").alias("root"))
+    star = connected_components(near, "shingle-stars")
     held = found.where("v is null").drop("v")
     part = F.pmod("h", F.lit(parts)).alias("part")
-    rooted = lambda star: held.join(star, "u", "left").select("h", "u", "n", "place", F.coalesce("root", "u").alias("root"))
-    across = rooted(star).groupBy(part).applyInPandas(_across, "u long, v long")
-    near = near.unionByName(materialise(_similar(materialise(across.distinct(), "shingle-across"), sets), "shingle-links"))
-    star = connected_components(near, "shingle-stars").select("u", F.col("v").alias("root"))
-    rest = rooted(star).groupBy(part).applyInPandas(_others, "u long, v long")
-    links = near.unionByName(_similar(materialise(rest.distinct(), "shingle-pairs"), sets))
-    star = connected_components(links, "shingle-components").select(F.col("u").alias("key"), F.col("v").alias("root"))
+    many, most = sets.count(), held.groupBy("h").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    first, last, tried = 1, NEAR + 1, None
+    while first <= most // 2:
+        rooted = held.join(star.select("u", F.col("v").alias("root")), "u", "left").select("h", "u", "n", "place", F.coalesce("root", "u").alias("root"))
+        pairs = rooted.groupBy(part).applyInPandas(_between(first, last), "u long, v long").distinct()
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "shingle-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        star = connected_components(star.unionByName(materialise(_similar(pairs, sets), "shingle-links")), "shingle-stars")
+        # about how many pairs are left, if all further distances give as many as these; this bounds the number of rounds only
+        left = pairs.count() * (most // 2) // (last - first)
+        first, last = last, FAR if left <= many else 2 * last
+    star = star.select(F.col("u").alias("key"), F.col("v").alias("root"))
     rooted = sets.groupBy("key").agg(F.min("id").alias("least")).join(star, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return sets.select("id", "key").join(rooted.join(smallest, "root").select("key", "component_id"), "key").select("id", "component_id")

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -56,6 +57,58 @@ def test_near_duplicate_stage_links_by_simhash(spark):
     assert shingles.simhash_links(sets.where("false")).count() == 0
 
 
+def test_group_of_near_copies_takes_few_comparisons(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(450):
+        words = list(base)
+        for at in rng.sample(range(len(words)), 3 if k % 3 == 0 else rng.choice([1, 2])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    split = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in split]
+    root = list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    compared, similar = [], shingles._similar
+
+    def counted(pairs, sets):
+        pairs = pairs.localCheckpoint()
+        compared.extend(pairs.collect())
+        return similar(pairs, sets)
+
+    monkeypatch.setattr(shingles, "_similar", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = dict(shingles.similar_documents(docs).collect())
+    assert found == dict(enumerate(root)) and len(set(root)) < 20
+    # all pairs are 101,025
+    assert len(compared) < 30 * len(texts)
+
+
+def test_rounds_hold_every_pair_of_different_components():
+    rng = random.Random(9)
+    rows = [(h, u) for h in range(6) for u in rng.sample(range(200), (3, 4, 7, 30, 61, 120)[h])]
+    root = {u: u % 40 for u in range(200)}
+    p = pd.DataFrame({"h": [h for h, _ in rows], "u": [u for _, u in rows], "n": 10, "place": 0})
+    seen, first, last = [], 1, 4
+    while first < 200:
+        p["root"] = p["u"].map(root)
+        for part in shingles._between(first, last)(iter([p])):
+            assert len(part) == len(part.drop_duplicates())
+            seen.append(part)
+        # links found meanwhile join components, and another one may become the largest
+        root = {u: 500 + len(seen) % 2 if r < 500 and r % 10 == first % 7 else r for u, r in root.items()}
+        first, last = last, 2 * last
+    seen = {(u, v) for part in seen for u, v in part[["u", "v"]].itertuples(index=False)}
+    members = [[u for g, u in rows if g == h] for h in range(6)]
+    left = {(u, v) for own in members for u in own for v in own if u > v and root[u] != root[v]}
+    assert left and left <= seen
+
+
 def test_order_of_shingles_counts_all_sets(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.format_string("a%d b c d e f", "id").alias("text"))
     sets = shingles.shingle_sets(docs, "doc_id", "text", 5)
