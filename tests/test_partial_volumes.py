@@ -24,9 +24,24 @@ def partial(spark, tmp_path_factory):
     return folder, duck
 
 
-@pytest.mark.parametrize("name", ["chunk_resized", "tiff_slices"])
+@pytest.mark.parametrize("name", ["chunk_resized", "tiff_slices", "predict_patches"])
 def test_last_layer_is_not_full(spark, partial, name):
     folder, duck = partial
     got, want = rows(Q.QUERIES[name](spark, folder).toPandas()), rows(duck.sql(Q.SQL[name]).df())
     assert len(got[1]) == len(want[1])
     assert got == want
+
+
+def test_folds_and_flips_that_look_at_no_voxel(spark):
+    """Of a network that looks one voxel ahead, only what has a voxel there counts."""
+
+    def ahead(fold):
+        return (lambda p: np.stack([np.zeros_like(p), np.concatenate([p[..., 1:], p[..., -1:]], axis=3)], axis=1)) if fold == 0 else None
+
+    vox = spark.createDataFrame([("a", 0, 0, 0, 0, x, float(x)) for x in (0, 1, 3)], "volume_id string, ord long, z int, y int, lz int, lx int, v double")
+    pv = vox.withColumn("x", F.col("lx")).withColumn("ly", F.lit(0)).withColumn("ord", F.col("ord").cast("long"))
+    out = predict.predict_patches(pv, (1, 1, 5), predict.PatchModel("ahead", ahead, classes=2), axes=(2,), covered=True).collect()
+    got = {r.x: (round(r.probs[1], 9), r.share) for r in out}
+    p = lambda v: round(float(1 / (1 + np.exp(-v))), 9)
+    # 0 looks at 1, and turned at itself; 1 looks at nothing, and turned at 0; 3 has no neighbour
+    assert got == {0: (round((p(1.0) + p(0.0)) / 2, 9), 1.0), 1: (p(0.0), 0.5)}
