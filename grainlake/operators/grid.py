@@ -107,6 +107,8 @@ def extract_patches(voxels: DataFrame, patches: DataFrame, block: int = 64) -> D
 
 def _starts_at(a: str, mode: str) -> tuple[Column, Column]:
     """The (index, start) of the patches along an axis that hold a position, by arithmetic, and how many starts the axis has."""
+    if mode == "even":
+        return _even_starts_at(a)
     at, n, p, s = (F.col(c).cast("int") for c in (a, f"n_{a}", f"p_{a}", f"s_{a}"))
     last = F.floor((n - p) / s).cast("int")
     low, high = F.greatest(F.ceil((at - p + 1) / s), F.lit(0)).cast("int"), F.least(F.floor(at / s).cast("int"), last)
@@ -121,11 +123,24 @@ def _starts_at(a: str, mode: str) -> tuple[Column, Column]:
     return F.concat(found, F.when(odd & (at >= n - p), F.array(pair(last + 1, n - p))).otherwise(none)), last + 1 + odd.cast("int")
 
 
+def _even_starts_at(a: str) -> tuple[Column, Column]:
+    """``_starts_at`` of an evenly spread axis: starts are rounded multiples of its step."""
+    at, n, p = (F.col(c).cast("int") for c in (a, f"n_{a}", f"p_{a}"))
+    many = (F.ceil((n - p) / F.col(f"s_{a}")) + 1).cast("int")
+    # one start alone is 0, whatever the step
+    step = (n - p) / F.greatest(many - 1, F.lit(1))
+    wide = F.when(many > 1, step).otherwise(p.cast("double"))
+    low = F.greatest(F.floor((at - p) / wide), F.lit(0)).cast("int")
+    high = F.greatest(F.least(F.ceil((at + 1) / wide), many - 1), low).cast("int")
+    near = F.transform(F.sequence(low, high), lambda i: F.struct(i.alias("i"), F.rint(i * step).cast("int").alias("start")))
+    return F.filter(near, lambda e: (e["start"] <= at) & (at < e["start"] + p) & (e["i"] < many)), many
+
+
 def grid_patches(voxels: DataFrame, sizes: DataFrame, mode: str = "clamped") -> DataFrame:
-    """``(volume_id, ord, z0, y0, x0, z, y, x, lz, ly, lx, ...)``: the voxels of each patch of a ``basic`` or ``clamped`` grid.
+    """``(volume_id, ord, z0, y0, x0, z, y, x, lz, ly, lx, ...)``: the voxels of each patch of a ``basic``, ``clamped`` or ``even`` grid.
 
-    A voxel finds its own patches by arithmetic on the starts, at most
-    ceil(p / s) + 1 an axis, so no voxel meets a patch that does not hold it and
+    A voxel finds its own patches by arithmetic on the starts, a few more than
+    ceil(p / s) an axis, so no voxel meets a patch that does not hold it and
     nothing but the row of sizes is joined.  ``ord`` is that of ``patch_grid``.
     """
     carried = [c for c in voxels.columns if c not in ("volume_id", *AXES)]
@@ -175,6 +190,12 @@ def _images(a: str, mode: str) -> Column:
     return F.array_distinct(F.concat(series(d + at), series(d - at if mode == "reflect" else d - at - 1)))
 
 
+def moved(voxels: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Voxels at their positions in the padded volume, with no rows for the margin: ``bounds`` is that of ``pad_bounds``."""
+    df = voxels.join(bounds.select("volume_id", *(f"d_{a}" for a in AXES)), "volume_id")
+    return df.select("volume_id", *((F.col(a) + F.col(f"d_{a}")).cast("int").alias(a) for a in AXES), *(c for c in voxels.columns if c not in ("volume_id", *AXES)))
+
+
 def pad(voxels: DataFrame, shapes: DataFrame, least: Sequence[int | Column], multiple: Sequence[int] = (1, 1, 1), fill: float = 0.0, mode: str = "constant") -> DataFrame:
     """Each volume padded to ``least`` per axis or more, and to a multiple, with all its value columns.
 
@@ -191,8 +212,7 @@ def pad(voxels: DataFrame, shapes: DataFrame, least: Sequence[int | Column], mul
             df = df.select("*", F.explode(_images(a, mode)).alias(f"t_{a}"))
         return df.select("volume_id", *(F.col(f"t_{a}").alias(a) for a in AXES), *values)
     grid = full_grid(s.select("volume_id", *(F.col(f"w_{a}").alias(f"n_{a}") for a in AXES)))
-    moved = voxels.join(s.select("volume_id", *(f"d_{a}" for a in AXES)), "volume_id").select("volume_id", *((F.col(a) + F.col(f"d_{a}")).cast("int").alias(a) for a in AXES), *values)
-    return grid.join(moved, ["volume_id", *AXES], "left").select("volume_id", *AXES, *(F.coalesce(c, F.lit(float(fill))).alias(c) for c in values))
+    return grid.join(moved(voxels, s), ["volume_id", *AXES], "left").select("volume_id", *AXES, *(F.coalesce(c, F.lit(float(fill))).alias(c) for c in values))
 
 
 def unpad(voxels: DataFrame, bounds: DataFrame) -> DataFrame:

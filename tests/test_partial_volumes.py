@@ -24,7 +24,7 @@ def partial(spark, tmp_path_factory):
     return folder, duck
 
 
-@pytest.mark.parametrize("name", ["chunk_resized", "tiff_slices", "predict_patches"])
+@pytest.mark.parametrize("name", ["chunk_resized", "tiff_slices", "predict_patches", "predict_slices"])
 def test_last_layer_is_not_full(spark, partial, name):
     folder, duck = partial
     got, want = rows(Q.QUERIES[name](spark, folder).toPandas()), rows(duck.sql(Q.SQL[name]).df())
@@ -32,6 +32,17 @@ def test_last_layer_is_not_full(spark, partial, name):
     assert got == want
 
 
+def test_even_grids_by_arithmetic(spark):
+    """Patches of an even grid that voxels find by themselves are those that a join finds."""
+    shapes = [("a", 9, 4, 2.0), ("b", 4, 4, 3.0), ("c", 13, 5, 2.5), ("d", 6, 1, 1.0), ("e", 3, 4, 2.0)]
+    sizes = spark.createDataFrame([(v, n, p, s, 1, 1, 1.0, 1, 1, 1.0) for v, n, p, s in shapes], "volume_id string, " + ", ".join(f"n_{a} int, p_{a} int, s_{a} double" for a in "zyx"))
+    vox = spark.createDataFrame([(v, z, 0, 0, float(z)) for v, n, *_ in shapes for z in range(n)], "volume_id string, z int, y int, x int, v double")
+    columns = ["volume_id", "ord", "z", "lz", "ly", "lx", "v"]
+    want = grid.extract_patches(vox, grid.patch_grid(sizes, "even"), block=4).select(columns)
+    got = grid.grid_patches(vox, sizes, "even").select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_folds_and_flips_that_look_at_no_voxel(spark):
     """Of a network that looks one voxel ahead, only what has a voxel there counts."""
 
