@@ -24,7 +24,7 @@ def partial(spark, tmp_path_factory):
     return folder, duck
 
 
-@pytest.mark.parametrize("name", ["chunk_resized", "tiff_slices", "predict_patches", "predict_slices"])
+@pytest.mark.parametrize("name", ["chunk_stream", "chunk_resized", "tiff_slices", "predict_patches", "predict_slices"])
 def test_last_layer_is_not_full(spark, partial, name):
     folder, duck = partial
     got, want = rows(Q.QUERIES[name](spark, folder).toPandas()), rows(duck.sql(Q.SQL[name]).df())
@@ -56,3 +56,13 @@ def test_folds_and_flips_that_look_at_no_voxel(spark):
     p = lambda v: round(float(1 / (1 + np.exp(-v))), 9)
     # 0 looks at 1, and turned at itself; 1 looks at nothing, and turned at 0; 3 has no neighbour
     assert got == {0: (round((p(1.0) + p(0.0)) / 2, 9), 1.0), 1: (p(0.0), 0.5)}
+
+
+def test_a_patch_without_voxels_is_sent(spark):
+    sizes = spark.createDataFrame([("a", *(8, 4, 4, 8) * 3)], "volume_id string, " + ", ".join(f"{k}_{a} int" for a in "zyx" for k in "npsc"))
+    patches = grid.chunked_grid(sizes)
+    vox = spark.createDataFrame([("a", 0, 1, 2, 0.5)], "volume_id string, z int, y int, x int, v double")
+    scored = grid.extract_patches(vox, patches, block=4).withColumn("probs", F.array(F.col("v"), F.col("v"), F.col("v")))
+    packed = chunks.chunk_patches(scored, chunks.chunks_of(patches, sizes), patches, 3).collect()
+    assert len(packed) == 8
+    assert sorted((r.scores, r.places) for r in packed) == [([], [])] * 7 + [([0.5] * 3, [6])]
